@@ -204,3 +204,29 @@ def per_doc(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=sums[1:])
     return sums[off[1:]] - sums[off[:-1]]
+
+
+def scattered(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
+    """(part, bytes of each column) of the entries of each part; order inside a part is kept."""
+    if not len(part):
+        return
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+    columns = [c[order] for c in columns]
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(part[a]), [c[a:b].tobytes() for c in columns]
+
+
+def gathered(blobs: list[bytes], dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype)
+
+
+def tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with their summed counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first)
