@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, language, quality
+from spectraloom.llm import bpe, jaccard, language, mixing, quality
 from spectraloom.llm.common import crc_mod, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,14 +23,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= language.MIN_SCORE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of shingle sets that link: that with the least doc_id.
+
+    Documents without words are alone; so are those without a doc_id.
+    """
+    found = written(jaccard.jaccard_components(docs), "components")
+    kept = found.where("doc_id = component_id").select("doc_id")
+    repeated = found.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count() > 0
+    out = docs.join(kept.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    if repeated:
+        out = out.dropDuplicates(["doc_id"])
+    return out.select(*COLUMNS).unionAll(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: taken / size times, rounded up or down by a hash of the text."""
+    rows, _, _ = mixing.mix(docs)
+    rows = rows.where("size > 0").groupBy("doc_id", "th").agg((F.sum("taken") / F.sum("size")).alias("times"))
+    docs = docs.withColumn("th", F.xxhash64("text"))
+    share = F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 20)) / (1 << 20)
+    rows = rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.floor(F.col("times") + share).cast("int").alias("n")).where("n > 0")
+    out = docs.join(rows.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "n"))).select(*COLUMNS)
+
+
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
     return bpe.encode(docs, keep=["doc_id"], digest=True)
 
 
-STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("bpe_encode", bpe_encode)]
+STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("near_duplicates", near_duplicates), ("mix_sources", mix_sources), ("bpe_encode", bpe_encode)]
 
-#: SQL cannot express the language and BPE stages.
+#: SQL cannot express the language, mixing and BPE stages.
 ORACLE_SQL = None
 
 
