@@ -1,0 +1,44 @@
+"""Readers.  Every reader goes through Spark's own file sources, so any store that Spark reads will do."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .fasta import read_fasta
+from .mgf import read_mgf
+from .mzml import read_mzml, spectra_of
+from .vendor import VendorDataSource
+
+__all__ = ["read_fasta", "read_mgf", "read_mzml", "read_spectra", "register", "spectrum_format"]
+
+
+def register(spark: SparkSession) -> None:
+    """Formats that only explain how to convert their files."""
+    for kind in ("thermo_raw", "bruker_d"):
+        spark.dataSource.register(type(f"{kind}_source", (VendorDataSource,), {"name": classmethod(lambda cls, k=kind: k)}))
+
+
+def spectrum_format(path: str) -> str:
+    """mzml, raw, d or mgf by the end of a path; what is none of the first three is read as MGF."""
+    low = path.rstrip("/").lower().removesuffix(".gz")
+    return next((kind for kind in ("mzml", "raw", "d") if low.endswith("." + kind)), "mgf")
+
+
+def read_spectra(spark: SparkSession, *paths: str, ms_levels: tuple[int, int] = (2, 2), limit: int | None = None) -> DataFrame:
+    """Spectra of one or several files, pooled; with several, titles start with the file's stem."""
+    from pyspark.sql import functions as F
+
+    from ..operators.order import with_index
+
+    out = None
+    for path in paths:
+        kind = spectrum_format(path)
+        if kind in ("raw", "d"):
+            raise VendorDataSource.error(path)
+        one = read_mgf(spark, path) if kind == "mgf" else spectra_of(read_mzml(spark, path, ms_levels))
+        if len(paths) > 1:
+            stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+            one = one.withColumn("title", F.concat(F.lit(stem + "/"), "title"))
+        out = one if out is None else out.unionByName(one)
+    out = with_index(out.drop("spectrum_idx"), "spectrum_idx") if len(paths) > 1 else out
+    return out if limit is None else out.orderBy("spectrum_idx").limit(limit)
