@@ -32,11 +32,11 @@ def _per_spectrum(matches: DataFrame, spectra: DataFrame, model: Model, kinds: l
         out: dict[str, list] = {n: [] for n in ("spectrum_idx", "charge", "cand_idx", *names)}
         prepared: dict[int, ScoredSpectrum] = {}
         if spectrum:
-            mz, intensity = _peaks(spectrum[0])
+            mz, intensity = _peaks({"peaks": spectrum[0]["_peaks"]})
             for row in left.to_pylist():
                 z = row["charge"]
                 if z not in prepared:
-                    prepared[z] = ScoredSpectrum(mz, intensity, row.get("precursor_mz_override") or spectrum[0]["precursor_mz"], z, held.value)
+                    prepared[z] = ScoredSpectrum(mz, intensity, row.get("precursor_mz_override") or spectrum[0]["_mz"], z, held.value)
                 got = fn(prepared[z], row)
                 for n in ("spectrum_idx", "charge", "cand_idx"):
                     out[n].append(row[n])
@@ -46,8 +46,8 @@ def _per_spectrum(matches: DataFrame, spectra: DataFrame, model: Model, kinds: l
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
     schema = "spectrum_idx long, charge int, cand_idx long, " + ", ".join(f"{n} {t}" for n, t in kinds)
-    some = spectra.select("spectrum_idx", "precursor_mz", "peaks")
-    return matches.groupBy("spectrum_idx").cogroup(some.groupBy("spectrum_idx")).applyInArrow(run, schema)
+    some = spectra.select(F.col("spectrum_idx").alias("_spectrum"), F.col("precursor_mz").alias("_mz"), F.col("peaks").alias("_peaks"))
+    return matches.groupBy("spectrum_idx").cogroup(some.groupBy("_spectrum")).applyInArrow(run, schema)
 
 
 def scored(matches: DataFrame, spectra: DataFrame, candidates: DataFrame, model: Model, enzyme: Enzyme) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators.match import MatchOptions, narrowed, precursor_matches, usable,
 from ..operators.model import Model
 from ..operators.score import scored, with_features
 from ..operators.topn import delta_score, leave_one_out, listwise, merged_top, null_stats, tailor, top_with_ties, with_output_rank
+from ..shared import written
 from ..sources.fasta import with_decoys
 
 
@@ -31,9 +32,9 @@ class SearchOptions:
 
 
 def build_candidates(proteins: DataFrame, table: VariantTable | None = None, options: SearchOptions = SearchOptions()) -> tuple[DataFrame, DataFrame]:
-    """(proteins with decoys, candidates)."""
-    both = with_decoys(proteins, options.decoy_prefix)
-    return both, candidates(both, table, options.digest)
+    """(proteins with decoys, candidates), both as tables in the shared folder since every later step reads them."""
+    both = written(with_decoys(proteins, options.decoy_prefix), "proteins")
+    return both, written(candidates(both, table, options.digest), "candidates")
 
 
 def search(spectra: DataFrame, cands: DataFrame, model: Model, options: SearchOptions = SearchOptions(), intensity_model=None) -> DataFrame:
@@ -42,9 +43,10 @@ def search(spectra: DataFrame, cands: DataFrame, model: Model, options: SearchOp
     keep = max(o.top_n, options.strong_retention) if options.strong else o.top_n
     spectra = usable(spectra, o.min_peaks)
     matches = precursor_matches(spectra, cands, o)
-    all_scored = scored(matches, spectra, cands, model, options.digest.enzyme)
+    # read four times below
+    all_scored = written(scored(matches, spectra, cands, model, options.digest.enzyme), "scored")
     top = merged_top(all_scored.join(cands.select("cand_idx", "pre", "post", "is_decoy", "protein_index", "neutral_mass"), "cand_idx"), keep)
-    psms = with_features(top, spectra, model, intensity_model)
+    psms = written(with_features(written(top, "top"), spectra, model, intensity_model), "features")
 
     # per spectrum, over all candidates of all charges
     once = all_scored.select("spectrum_idx", "charge", "score", "mass_key")
