@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.chem import Tolerance
 from ..functions.names import age_days
 from .model import NOISE, Model
 from .train import COUNT_KEYS, EstimateOptions, combined, estimate
 
-SCHEMA = StructType.fromDDL(
+SCHEMA = (
     "record_kind string not null, model_id string not null, activation string, instrument string, enzyme string, protocol string, experiment_class string, version int, mme_val float, mme_is_ppm boolean, apply_deconv boolean, deconv_tol float, num_segments int, max_rank int, error_scaling_factor int, min_charge int, max_charge int, num_precursor_off int, charge_hist array<struct<charge:int,count:int>>, "
     "part_charge int, part_mass_bits int, part_seg int, ion_kind string, ion_charge int, ion_offset_bits int, table_kind string, values array<float>, precursor_offsets array<struct<reduced_charge:int,offset:float,tol_is_ppm:boolean,tol_val:float,frequency:float>>, "
     "source_id string, dataset string, n_psms long, date string, weight float, train_fdr float, src_instrument string, src_experiment_class string, counts array<long>, charge_keys array<int>"
 )
 
 
+NAMES = re.findall(r"(?:^|, )(\w+) ", SCHEMA)
+
+
 def bits(x: float) -> int:
     return struct.unpack("<i", struct.pack("<f", x))[0]
 
@@ -90,7 +93,7 @@ def load_model(store: DataFrame, model_id: str) -> Model:
 
 
 def frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    return spark.createDataFrame([tuple(r.get(f) for f in SCHEMA.fieldNames()) for r in rows], SCHEMA)
+    return spark.createDataFrame([tuple(r.get(f) for f in NAMES) for r in rows], SCHEMA)
 
 
 def manifest(store: DataFrame) -> DataFrame:
@@ -151,7 +154,7 @@ class Store:
         last = self.generation()
         n = int(last.split("-")[1]) + 1 if last else 1
         hidden = f"{self.path}/_new-{uuid.uuid4().hex}"
-        rows.select(*SCHEMA.fieldNames()).orderBy("model_id", "record_kind").write.parquet(hidden)
+        rows.select(*NAMES).orderBy("model_id", "record_kind").write.parquet(hidden)
         if not self._fs.rename(self._path(hidden), self._path(f"{self.path}/gen-{n:08d}")):
             raise OSError(f"{self.path}: the new generation could not be put in place")
 

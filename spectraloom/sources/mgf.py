@@ -19,7 +19,7 @@ def read_mgf(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFr
     """Spectra in file order; rows with an error go unless mode is ALL, and stop the read if it is FAILFAST."""
     text = spark.read.option("lineSep", "END IONS").text(path)
     text = text.select(F.col("value"), F.col("_metadata.file_path").alias("spec_file"))
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     rows = text.withColumn("lines", lines).where(F.array_contains("lines", "BEGIN IONS") | (F.size("lines") > 0))
     begun = F.array_position("lines", F.lit("BEGIN IONS"))
     rows = rows.where(begun > 0).withColumn("lines", F.slice("lines", (begun + 1).cast("int"), F.size("lines")))
