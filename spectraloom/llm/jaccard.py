@@ -3,8 +3,9 @@
 Sets of word shingles link at a Jaccard similarity of PERCENT or more.  Equal
 sets are one node.  All shingles are in one order, rarest first (counts of the
 commoner ones, then hashes), and each node is indexed under its first
-|x| - ceil(t |x|) + 1 shingles, its prefix: linked sets share one of them.
-An index list holds its nodes by size and position, and blocks of a list that
+|x| - ceil(t |x|) + SHARED shingles, its prefix: linked sets share SHARED of
+them (or all that must be common, if that is less), so pairs are counted over
+lists before any set is fetched.  An index list holds its nodes by size and position, and blocks of a list that
 cannot link by size or by the shingles left behind both positions are skipped.
 
 Near-copies are reduced first.  In every list, size cells choose leaders by
@@ -38,6 +39,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WORDS, PERCENT = 3, 90
+#: Prefix shingles that linked sets have in common.
+SHARED = 4
+#: Ids up to which the wanted texts are found by a broadcast, and beyond by a shuffle.
+FEW_IDS = 200_000
 #: Shingles whose counts are broadcast to order the index, at most, and the least such count.
 MOST_COMMON, LEAST_COMMON = 1 << 20, 8
 #: Shingles that a task holds before it hands counts on.
@@ -76,8 +81,13 @@ def needed(n, percent: int):
 
 
 def prefix_size(n, percent: int):
-    """Elements of a set of n of which a linked set has one at least."""
-    return n + (-n * percent // 100) + 1
+    """Elements of a set of n of which a linked set has SHARED at least, or all that both must have."""
+    return np.minimum(n, n + (-n * percent // 100) + SHARED)
+
+
+def must_share(n, percent: int):
+    """Prefix elements that a linked set of n elements or more, or a little fewer, shares at least."""
+    return np.minimum(SHARED, -(-n * percent // 100))
 
 
 def _blocks(batches, column: str):
@@ -211,7 +221,7 @@ def _index(df: DataFrame, words: int, percent: int, parts: int, common: tuple[np
                     continue
                 if len(seen) < 4_000_000:
                     seen.add(node)
-                n = prefix_size(len(s), percent)
+                n = int(prefix_size(len(s), percent))
                 if len(keys):
                     short = s >> down
                     at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
@@ -255,14 +265,14 @@ def _index(df: DataFrame, words: int, percent: int, parts: int, common: tuple[np
                 want = C.mix(key) + (size - below).astype(_U) * _U(0x9E3779B97F4A7C15)
                 at = np.minimum(np.searchsorted(cells, want), len(cells) - 1)
                 ok = (cells[at] == want) & (leader[at] != node)
-                pairs.append((node[ok], leader[at][ok], np.full(ok.sum(), below + 2 * nth)))
+                pairs.append((node[ok], leader[at][ok], np.full(ok.sum(), nth), n[ok]))
         if pairs:
-            a, b, c = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            a, b, c, size = (np.concatenate(x) for x in zip(*pairs, strict=True))
             name = np.lexsort((c, b, a))
-            a, b, c = a[name], b[name], c[name]
+            a, b, c, size = a[name], b[name], c[name], size[name]
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])) if len(a) else np.empty(0, np.int64)
             m = len(first)
-            out.append(pa.table([pa.array(["s"] * m, pa.string()), pa.nulls(m, pa.int64()), pa.array(a[first]), pa.nulls(m, pa.int64()), pa.array(c[first]), pa.array(b[first]), pa.array(np.diff(np.append(first, len(a))))], schema=_LISTS))
+            out.append(pa.table([pa.array(["s"] * m, pa.string()), pa.nulls(m, pa.int64()), pa.array(a[first]), pa.array(size[first]), pa.array(c[first]), pa.array(b[first]), pa.array(np.diff(np.append(first, len(a))))], schema=_LISTS))
         return pa.concat_tables(out)
 
     entries = df.mapInArrow(run, "part int, key binary, node binary, n binary, pos binary")
@@ -271,10 +281,11 @@ def _index(df: DataFrame, words: int, percent: int, parts: int, common: tuple[np
 
 def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, set) of the wanted nodes, from one text each."""
-    ids = nodes.where("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node", "left_semi").select("id").where("id is not null")
-    alone = nodes.where("n > 0").groupBy("node").agg(F.min("id").alias("id")).where("id is null").join(wanted, "node", "left_semi")
-    texts = df.join(ids.distinct().hint("shuffle_hash"), "id", "left_semi").select("text")
-    if alone.limit(1).count():
+    wanted = C.written(nodes.where("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node", "left_semi"), "wanted")
+    n, with_id = wanted.agg(F.count("*"), F.count("id")).first()
+    ids = wanted.where("id is not null").select("id").distinct()
+    texts = df.join(F.broadcast(ids) if with_id <= FEW_IDS else ids.hint("shuffle_hash"), "id", "left_semi").select("text")
+    if n > with_id:
         texts = texts.unionAll(df.where("id is null").select("text"))
 
     def run(batches):
@@ -282,9 +293,9 @@ def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> Dat
             sets = shingle_sets(w, words)
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-    # texts of one id may differ; only wanted sets stay
-    made = texts.mapInArrow(run, "node long, set binary")
-    return C.written(made, "sets")
+    made = C.written(texts.mapInArrow(run, "node long, set binary"), "sets")
+    # rows of one id may repeat or differ in their texts
+    return made if made.count() == n else made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 VERDICT = "a long, b long, na long, nb long, both long, link boolean, gone binary, come binary"
@@ -333,9 +344,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _across(entries: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs (x, y) of nodes of different components in one list that can link by size and position."""
+    """Pairs (x, y) of nodes of different components that share enough lists and can link by size and position."""
     rows = entries.join(labels, "node", "left").select(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "key", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
-    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("lists", pa.int64()), ("need", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         key, node, n, pos, comp = (group.column(c).to_numpy() for c in ("key", "node", "n", "pos", "comp"))
@@ -352,11 +363,15 @@ def _across(entries: DataFrame, labels: DataFrame, percent: int, parts: int) ->
                 j = np.arange(i + 1, stop[i])
                 j = j[(label[j] != label[i]) & (np.minimum(left[j], left[i]) >= needed(size[j] + size[i], percent) - np.minimum(size[i] - left[i], size[j] - left[j]))]
                 if len(j):
-                    found.append(np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j])]))
-        pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.empty((2, 0), np.int64)
-        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], schema=out)
+                    found.append(np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j]), np.full(len(j), must_share(size[i], percent))]))
+        x, y, need = np.concatenate(found, 1) if found else np.empty((3, 0), np.int64)
+        order = np.lexsort((y, x))
+        x, y, need = x[order], y[order], need[order]
+        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.empty(0, np.int64)
+        return pa.table([pa.array(x[first]), pa.array(y[first]), pa.array(np.diff(np.append(first, len(x)))), pa.array(need[first])], schema=out)
 
-    return rows.groupBy("part").applyInArrow(run, "x long, y long").distinct()
+    pairs = rows.groupBy("part").applyInArrow(run, "x long, y long, lists long, need long")
+    return pairs.groupBy("x", "y").agg(F.sum("lists").alias("lists"), F.max("need").alias("need")).where("lists >= need").select("x", "y")
 
 
 def _derived(pairs: DataFrame, base: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -391,12 +406,12 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     nodes = _nodes(df, words)
     lists = _index(df, words, percent, parts, _common(df, words, parts))
     entries, shared = lists.where("kind = 'e'"), lists.where("kind = 's'")
-    sets = _sets(df, nodes, entries.select("node").distinct(), words).dropDuplicates(["node"])
-    sets = C.written(sets, "sets")
 
-    # of each cell's leaders the one that shares most lists
-    star = shared.groupBy("node", "leader", "pos").agg(F.sum("lists").alias("lists"))
+    star = shared.groupBy("node", "leader", "pos").agg(F.sum("lists").alias("lists"), F.min("n").alias("n"))
+    star = star.where(F.col("lists") >= F.least(F.lit(SHARED), F.floor(F.col("n") * (percent * percent) / 10000)))
     star = star.groupBy("node", "pos").agg(F.max_by("leader", F.struct("lists", "leader")).alias("leader")).select("node", "leader").distinct()
+    star = C.written(star, "star")
+    sets = _sets(df, nodes, star.select("node").union(star.select("leader")).distinct(), words)
     checked = C.written(_verify(star.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, percent, True), "leaders")
     linked = checked.where("link")
     labels = components(linked)
@@ -407,6 +422,7 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
         least = linked.groupBy(F.col("b").alias("x")).agg(F.min_by(F.struct(F.col("a").alias("c"), "gone", "come"), F.struct(F.length("gone") + F.length("come"), F.col("a"))).alias("l"))
         led = pairs.join(least, "x", "left").select("x", "y", F.coalesce("l.c", "x").alias("c"), "l.gone", "l.come")
         led = C.written(led, "led")
+        sets = _sets(df, nodes, led.select(F.col("c").alias("node")).union(led.select("y")).distinct(), words)
         ask = led.select(F.col("c").alias("a"), F.col("y").alias("b")).distinct()
         base = _verify(ask, sets, percent, False).select(F.col("a").alias("c"), F.col("b").alias("y"), "both", F.col("na").alias("nc"), F.col("nb").alias("ny"))
         more = C.written(_derived(led, base, sets, percent), "links")
