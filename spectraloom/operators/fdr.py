@@ -66,3 +66,23 @@ def entrapment(df: DataFrame, prefix: str = "ENT_") -> DataFrame:
     hit = F.forall("proteins", lambda p: p.startswith(prefix)) & (F.size("proteins") > 0)
     out = df.agg(F.count("*").alias("n"), F.count(F.when(hit, 1)).alias("entrapped"))
     return out.withColumn("fdp", F.coalesce(F.try_divide(2.0 * F.col("entrapped"), F.col("n")), F.lit(0.0)))
+
+
+def distinct_accepted(df: DataFrame, fdr: float = 0.01) -> DataFrame:
+    """(matches, peptides, proteins) among targets at a rate; df has q, is_decoy, sequence and proteins."""
+    good = df.where(~F.col("is_decoy") & (F.col("q") <= fdr))
+    return good.agg(F.count("*").alias("matches"), F.count_distinct("sequence").alias("peptides"), F.size(F.array_distinct(F.flatten(F.collect_set("proteins")))).alias("proteins"))
+
+
+def out_of_bounds(metrics: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(metric, problem, failure) of metrics (metric, value text) against bounds (metric, min, max, optional).
+
+    A missing value fails unless it is optional; bounds without numbers are passed over.
+    """
+    rows = bounds.where("metric <> '' and (min is not null or max is not null)").join(metrics, "metric", "left")
+    text = F.trim("value")
+    missing = F.coalesce(text, F.lit("")).isin("", "NA", "na")
+    value = text.try_cast("double")
+    problem = F.when(missing, "missing").when(value.isNull(), "not a number").when((value < F.col("min")) | (value > F.col("max")), "outside its bounds")
+    out = rows.select("metric", problem.alias("problem"), F.coalesce(F.col("optional"), F.lit(False)).alias("optional")).where("problem is not null")
+    return out.select("metric", "problem", (~(F.col("optional") & (F.col("problem") == "missing"))).alias("failure"))

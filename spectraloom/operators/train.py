@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chem import RESIDUE_MASS
+from ..functions.chem import RESIDUE_MASS, ion_mz, nominal_of
 from ..functions.names import HIGH_RESOLUTION
 from .fdr import best_per_spectrum, q_values
 from .model import NOISE, Model, Part
@@ -33,11 +33,11 @@ def _facts(s: ScoredSpectrum, masses: np.ndarray):
     """(partition, ion, rank or 0, error bin or None) of each ion of each split, in the model's error scale."""
     m = s.model
     wide = m.instrument in HIGH_RESOLUTION
-    heads = np.cumsum(masses)[:-1]
-    tails = np.cumsum(masses[::-1])[:-1]
+    heads = nominal_of(np.cumsum(masses)[:-1])
+    tails = int(nominal_of(float(masses.sum()))) - heads
     for seg, part in enumerate(s.parts):
-        for (kind, z, offset), _ in m.fragments.get(part, []):
-            at = (heads if kind == "prefix" else tails) / z + offset
+        for (kind, z, offset), _ in s.ratios[seg]:
+            at = ion_mz(heads if kind == "prefix" else tails, z, offset)
             tol = at * 20e-6 if wide else m.mme.as_da(at)
             hit = s.strongest(at, tol)
             here = s.segment(at) == seg
@@ -139,11 +139,11 @@ def blend(own: np.ndarray, above: np.ndarray, n: float, weight: float) -> np.nda
 
 
 def smooth(dist: np.ndarray) -> np.ndarray:
-    """Means over windows that widen with rank (half width 0 for the first three ranks, then up to 5); the last slot stays."""
+    """Means over windows that widen with rank (half widths 0 to 5 from ranks 3, 5, 10, 20 and 50); the last slot stays."""
     n = len(dist) - 1
     out = dist.astype(float).copy()
     for i in range(3, n):
-        half = 1 if i < 5 else 2 if i < 10 else 3 if i < 20 else 4 if i < 40 else 5
+        half = 1 if i < 5 else 2 if i < 10 else 3 if i < 20 else 4 if i < 50 else 5
         out[i] = dist[max(0, i - half) : min(n, i + half + 1)].mean()
     return (out / out.sum()).astype(np.float32) if out.sum() > 0 else dist
 

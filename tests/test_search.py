@@ -290,3 +290,29 @@ def test_flat_rows(spark):
     got = train.flat_peptides(df).collect()
     assert [[x.mod_delta for x in r.residues] for r in got] == [[11.0, None, None, 2.0]]
     assert [p.mz for p in got[0].peaks] == [100.0, 200.0]
+
+
+def test_bounds_and_counts(spark):
+    m = spark.createDataFrame([("psm", "12"), ("wall", "NA"), ("rss", "x"), ("ok", "5")], "metric string, value string")
+    b = spark.createDataFrame([("psm", 20.0, None, False), ("wall", 1.0, 2.0, True), ("rss", 1.0, 2.0, False), ("ok", 1.0, 9.0, False), ("gone", 1.0, None, False), ("free", None, None, False)], "metric string, min double, max double, optional boolean")
+    got = {r.metric: (r.problem, r.failure) for r in fdr.out_of_bounds(m, b).collect()}
+    assert got == {"psm": ("outside its bounds", True), "wall": ("missing", False), "rss": ("not a number", True), "gone": ("missing", True)}
+    df = spark.createDataFrame([("A", ["p", "q"], False, 0.0), ("A", ["q"], False, 0.005), ("B", ["r"], True, 0.0), ("C", ["s"], False, 0.5)], "sequence string, proteins array<string>, is_decoy boolean, q double")
+    assert tuple(fdr.distinct_accepted(df).first()) == (2, 1, 2)
+
+
+def test_stream_carries_the_last_ms1(spark, tmp_path):
+    from spectraloom.streaming.ms1 import linked_stream
+
+    schema = "spec_file string, seq long, ms_level int"
+    src = tmp_path / "in"
+    for i, rows in enumerate([[("a", 0, 1), ("a", 1, 2), ("b", 0, 2)], [("a", 2, 2), ("a", 3, 1), ("a", 4, 2), ("b", 1, 1), ("b", 2, 2)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src / f"part={i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "part=*"))
+    q = linked_stream(stream).writeStream.format("memory").queryName("linked").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    try:
+        q.processAllAvailable()
+        got = {(r.spec_file, r.seq): r.ms1_seq for r in spark.table("linked").collect()}
+    finally:
+        q.stop()
+    assert got == {("a", 1): 0, ("b", 0): None, ("a", 2): 0, ("a", 4): 3, ("b", 2): 1}
