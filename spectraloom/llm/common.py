@@ -1,9 +1,7 @@
-"""Shared helpers: shared-folder tables, Arrow pass-through maps, block-wise text arrays."""
+"""Shared helpers: Arrow pass-through maps, block-wise text arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import written
+
 #: Text bytes handled at once in one Python worker; a longer single text is its own block.
 BLOCK_BYTES = 2 << 20
 
@@ -26,29 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in local mode a folder made once."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            where = held.get()
-        elif spark.sparkContext.master.startswith("local"):
-            where = "file://" + tempfile.mkdtemp(prefix="spectraloom-")
-            spark.sparkContext.setCheckpointDir(where)
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, n: int):
     """crc32 of a column as text, modulo n; null for a null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)

@@ -3,13 +3,13 @@
 Sets of word shingles link at a Jaccard similarity of PERCENT or more.  Equal
 sets are one node.  All shingles are in one order, rarest first (counts of the
 commoner ones, then hashes), and each node is indexed under its first
-|x| - ceil(t |x|) + SHARED shingles, its prefix: linked sets share SHARED of
-them (or all that must be common, if that is less), so pairs are counted over
-lists before any set is fetched.  An index list holds its nodes by size and position, and blocks of a list that
+|x| - ceil(t |x|) + SHARED shingles, its prefix.  What linked sets share of
+their prefixes at least follows from their sizes (must_share), so pairs are
+counted over lists before any set is fetched.  An index list holds its nodes by size and position, and blocks of a list that
 cannot link by size or by the shingles left behind both positions are skipped.
 
-Near-copies are reduced first.  In every list, size cells choose leaders by
-hash; a node is compared with the leaders it shares most lists with.  Its
+Near-copies are reduced first.  In every list, size cells choose two leaders,
+the one with the largest share of common shingles and one by hash; a node is compared with the leaders it shares most lists with.  Its
 differences from a linked leader are kept.  Of two nodes of one component no
 link needs a proof, so lists then pair only nodes of different components.
 For such a pair (x, y) the answer of x's leader c is computed first, once for
@@ -85,9 +85,14 @@ def prefix_size(n, percent: int):
     return np.minimum(n, n + (-n * percent // 100) + SHARED)
 
 
-def must_share(n, percent: int):
-    """Prefix elements that a linked set of n elements or more, or a little fewer, shares at least."""
-    return np.minimum(SHARED, -(-n * percent // 100))
+def must_share(n, m, percent: int):
+    """Prefix elements that linked sets of n and m elements share at least.
+
+    Of the prefix that ends first in the common order, all common elements up to
+    its end lie in both prefixes; those after it are among the rest of its set.
+    """
+    rest = np.maximum(n - prefix_size(n, percent), m - prefix_size(m, percent))
+    return np.maximum(np.minimum(SHARED, -(-np.minimum(n, m) * percent // 100)), needed(n + m, percent) - rest)
 
 
 def _blocks(batches, column: str):
@@ -212,7 +217,7 @@ def _index(df: DataFrame, words: int, percent: int, parts: int, common: tuple[np
             blobs.clear()
             part = (C.mix(cols[0]) % _U(parts)).astype(np.int32)
             for p, data in C.scattered(part, cols):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([d], pa.binary()) for d in data]], names=["part", "key", "node", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([d], pa.binary()) for d in data]], names=["part", "key", "node", "n", "pos", "central"])
 
         for _, _, _, w in _blocks(batches, "text"):
             for s in shingle_sets(w, words):
@@ -227,9 +232,11 @@ def _index(df: DataFrame, words: int, percent: int, parts: int, common: tuple[np
                     at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
                     count = np.where(keys[at] == short, counts[at], 0)
                     first = s[np.lexsort((s, count))[:n]] if count.any() else s[:n]
+                    # the original of a large group has few shingles that are its own
+                    central = int(255 * (count > 0).mean())
                 else:
-                    first = s[:n]
-                blobs.append((first, np.full(n, node, np.int64), np.full(n, len(s), np.int32), np.arange(n, dtype=np.int32)))
+                    first, central = s[:n], 0
+                blobs.append((first, np.full(n, node, np.int64), np.full(n, len(s), np.int32), np.arange(n, dtype=np.int32), np.full(n, central, np.uint8)))
                 size += n
             if size > HOLD // 4:
                 yield from out()
@@ -238,22 +245,21 @@ def _index(df: DataFrame, words: int, percent: int, parts: int, common: tuple[np
             yield from out()
 
     def lists(group: pa.Table) -> pa.Table:
-        key, node, n, pos = (C.gathered(group.column(c).to_pylist(), t) for c, t in (("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4")))
-        order = np.lexsort((node, key))
-        key, node, n, pos = key[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        cols = [C.gathered(group.column(c).to_pylist(), t) for c, t in (("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("central", "u1"))]
+        order = np.lexsort((cols[1], cols[0]))
+        key, node, n, pos, central = (c[order] for c in cols)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, n, pos = key[new], node[new], n[new], pos[new]
-        more = np.zeros(len(key), bool)
-        more[1:] = key[1:] == key[:-1]
+        more = np.zeros(int(new.sum()), bool)
+        more[1:] = key[new][1:] == key[new][:-1]
         more[:-1] |= more[1:]
-        key, node, n, pos = key[more], node[more], n[more], pos[more]
+        key, node, n, pos, central = (c[new][more].astype(c.dtype if c.dtype == _U else np.int64) for c in (key, node, n, pos, central))
         out = [pa.table([pa.array(["e"] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(node), pa.array(n), pa.array(pos), pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64())], schema=_LISTS)]
         size = np.floor(np.log(np.maximum(n, 1)) / cell + 1e-9).astype(np.int64)
         pairs = []
         for nth, salt in enumerate(SALTS if len(key) else ()):
             rank = C.mix(node.astype(_U) ^ _U(salt))
-            order = np.lexsort((rank, size, key))
+            order = np.lexsort((rank, *([] if nth else [-central]), size, key))
             k, z, who = key[order], size[order], node[order]
             head = np.ones(len(k), bool)
             head[1:] = (k[1:] != k[:-1]) | (z[1:] != z[:-1])
@@ -275,7 +281,7 @@ def _index(df: DataFrame, words: int, percent: int, parts: int, common: tuple[np
             out.append(pa.table([pa.array(["s"] * m, pa.string()), pa.nulls(m, pa.int64()), pa.array(a[first]), pa.array(size[first]), pa.array(c[first]), pa.array(b[first]), pa.array(np.diff(np.append(first, len(a))))], schema=_LISTS))
         return pa.concat_tables(out)
 
-    entries = df.mapInArrow(run, "part int, key binary, node binary, n binary, pos binary")
+    entries = df.mapInArrow(run, "part int, key binary, node binary, n binary, pos binary, central binary")
     return C.written(entries.groupBy("part").applyInArrow(lists, LISTS), "lists")
 
 
@@ -345,25 +351,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _across(entries: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs (x, y) of nodes of different components that share enough lists and can link by size and position."""
-    rows = entries.join(labels, "node", "left").select(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "key", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
+    known = entries.groupBy("node").agg(F.count("*").alias("shared")).join(labels, "node", "left").select("node", "shared", F.coalesce("comp", "node").alias("comp"))
+    rows = entries.join(known, "node").select(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "key", "node", "n", "pos", "shared", "comp")
     out = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("lists", pa.int64()), ("need", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        key, node, n, pos, comp = (group.column(c).to_numpy() for c in ("key", "node", "n", "pos", "comp"))
-        order = np.lexsort((pos, n, key))
-        key, node, n, pos, comp = key[order], node[order], n[order], pos[order], comp[order]
+        cols = [group.column(c).to_numpy() for c in ("key", "node", "n", "pos", "shared", "comp")]
+        order = np.lexsort((cols[3], cols[2], cols[0]))
+        key, node, n, pos, shared, comp = (c[order] for c in cols)
         cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         mixed = np.minimum.reduceat(comp, cut[:-1]) != np.maximum.reduceat(comp, cut[:-1])
         found = []
         for a, b in zip(cut[:-1][mixed].tolist(), cut[1:][mixed].tolist(), strict=True):
-            size, left, label, who = n[a:b], (n - pos)[a:b], comp[a:b], node[a:b]
+            size, left, label, who, lists = n[a:b], (n - pos)[a:b], comp[a:b], node[a:b], shared[a:b]
             # entries are by size: only the block up to size / t can link
             stop = np.searchsorted(size, size * 100 // percent, "right")
             for i in range(b - a - 1):
                 j = np.arange(i + 1, stop[i])
-                j = j[(label[j] != label[i]) & (np.minimum(left[j], left[i]) >= needed(size[j] + size[i], percent) - np.minimum(size[i] - left[i], size[j] - left[j]))]
+                j = j[label[j] != label[i]]
+                need = must_share(size[i], size[j], percent)
+                # no more common shingles than lists of either; before both positions no more than the earlier one
+                ok = (np.minimum(lists[i], lists[j]) >= need) & (np.minimum(left[j], left[i]) >= needed(size[j] + size[i], percent) - np.minimum(size[i] - left[i], size[j] - left[j]))
+                j = j[ok]
                 if len(j):
-                    found.append(np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j]), np.full(len(j), must_share(size[i], percent))]))
+                    found.append(np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j]), need[ok]]))
         x, y, need = np.concatenate(found, 1) if found else np.empty((3, 0), np.int64)
         order = np.lexsort((y, x))
         x, y, need = x[order], y[order], need[order]

@@ -58,8 +58,6 @@ def test_phrases_by_brute_force():
     rows = ["", "abc", make("abcdefgh .", 700), "中文" * 40, make("xyz", 50)]
     seq, off, _ = language.codes(rows, m.table)
     got = m.phrases(seq, off)
-    refs = [language.codes([t], m.table)[0].tobytes() + b"\0" for t in [m_text for m_text in ()]]
-    del refs
     for k, lang in enumerate(m.langs):
         table, root = m.go.reshape(-1, 64), m.roots[k]
 
