@@ -16,7 +16,6 @@ from ..functions.mods import VariantTable
 from ..operators import digest, fdr, intensity, match, topn, train
 from ..operators.digest import DigestOptions
 from ..operators.match import MatchOptions
-from ..operators.order import with_index  # noqa: F401  (part of the library's surface)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -38,7 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy"
 SEQ = f"upper(regexp_replace(coalesce(text, ''), '[^{LETTERS}]+', '', 'g'))"
-RES = "A-Z"
 
 
 def residue_letters(column: str):
