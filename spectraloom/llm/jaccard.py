@@ -371,10 +371,13 @@ def _across(entries: DataFrame, labels: DataFrame, percent: int, parts: int) ->
                 j = j[label[j] != label[i]]
                 need = must_share(size[i], size[j], percent)
                 # no more common shingles than lists of either; before both positions no more than the earlier one
-                ok = (np.minimum(lists[i], lists[j]) >= need) & (np.minimum(left[j], left[i]) >= needed(size[j] + size[i], percent) - np.minimum(size[i] - left[i], size[j] - left[j]))
+                # the first of them lie early in both prefixes, so later entries of a pair need not be counted
+                first = np.minimum(SHARED, need)
+                early = (size[i] - left[i] < prefix_size(size[i], percent) - need + first) & (size[j] - left[j] < prefix_size(size[j], percent) - need + first)
+                ok = early & (np.minimum(lists[i], lists[j]) >= need) & (np.minimum(left[j], left[i]) >= needed(size[j] + size[i], percent) - np.minimum(size[i] - left[i], size[j] - left[j]))
                 j = j[ok]
                 if len(j):
-                    found.append(np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j]), need[ok]]))
+                    found.append(np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j]), first[ok]]))
         x, y, need = np.concatenate(found, 1) if found else np.empty((3, 0), np.int64)
         order = np.lexsort((y, x))
         x, y, need = x[order], y[order], need[order]
