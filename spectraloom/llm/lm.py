@@ -39,6 +39,8 @@ _U = np.uint64
 END_HASH = _U(0x5EED5EED5EED5EED)
 #: Distinct contexts that a task holds before it hands them on.
 HOLD = 6_000_000
+#: Counts are placed by the NEAR most recent symbols, so contexts of at least that depth are whole in one part.
+NEAR = 3
 
 PARTS = "kind string, part int, keys binary, counts binary, n long"
 _PARTS = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())])
@@ -90,7 +92,7 @@ def counted(train: DataFrame, text_col: str, parts: int) -> DataFrame:
         def out(kind):
             k, c = merged(kind)
             held[kind] = []
-            at = _part(k if kind == "w" else k >> _U(24), parts)
+            at = _part(k if kind == "w" else k >> _U(8 * (DEPTH + 1 - NEAR)), parts)
             for p, (keys, counts) in C.scattered(at, [k, c]):
                 yield pa.RecordBatch.from_pylist([{"kind": kind, "part": p, "keys": keys, "counts": counts, "n": 0}], schema=_PARTS)
 
@@ -126,7 +128,7 @@ def candidates(counts: DataFrame, total: int, depth: int = DEPTH, min_share: flo
                 k, n = np.frombuffer(keys, "<u8"), np.frombuffer(n, "<i8")
                 for d in range(2, depth + 1):
                     x, y = at_depth(k, n, d, depth)
-                    if d >= 3:
+                    if d >= NEAR:
                         x, y = frequent(x, y, least)
                     if len(x):
                         yield pa.RecordBatch.from_pylist([{"d": d, "keys": x.tobytes(), "counts": y.tobytes()}], schema=pa.schema([("d", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
