@@ -231,7 +231,7 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text", keep:
                     got = [s] if s >= 0 else model.tree(p, not (r["open_end"] and j == len(r["parts"]) - 1))
                     ids += got
                     counts.append(len(got))
-                yield pa.RecordBatch.from_pylist([{"_key": r["_key"], "seq": r["seq"], "ids": ids, "head": counts[0], "tail": counts[-1], "parts": len(counts), "open_start": r["open_start"], "open_end": r["open_end"]}], schema=pa.schema([("_key", pa.string()), ("seq", pa.int32()), ("ids", pa.list_(pa.int32())), ("head", pa.int32()), ("tail", pa.int32()), ("parts", pa.int32()), ("open_start", pa.bool_()), ("open_end", pa.bool_())]))
+                yield pa.RecordBatch.from_pylist([{"_key": r["_key"], "seq": r["seq"], "ids": ids, "head": counts[0] if counts else 0, "tail": counts[-1] if counts else 0, "parts": len(counts), "open_start": r["open_start"], "open_end": r["open_end"]}], schema=pa.schema([("_key", pa.string()), ("seq", pa.int32()), ("ids", pa.list_(pa.int32())), ("head", pa.int32()), ("tail", pa.int32()), ("parts", pa.int32()), ("open_start", pa.bool_()), ("open_end", pa.bool_())]))
 
     def join(group: pa.Table) -> pa.Table:
         model = bpe(path, special)
@@ -263,7 +263,7 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text", keep:
 
 
 def pieces(model: Bpe, text: str, most: int):
-    """(parts, special ids, open start, open end) of successive pieces of a text, of about `most` characters."""
+    """(parts, special ids, open start, open end) of successive pieces of a text, of about `most` characters; one empty piece without pre-tokens."""
     parts, special, size, open_start = [], [], 0, False
     for word, s in model.pretokens(text):
         letters = word.encode().decode("latin-1").translate(model.byte)
@@ -280,8 +280,7 @@ def pieces(model: Bpe, text: str, most: int):
         parts.append(letters)
         special.append(s)
         size += len(letters) or 1
-    if parts:
-        yield parts, special, open_start, False
+    yield parts, special, open_start, False
 
 
 def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:

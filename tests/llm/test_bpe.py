@@ -43,6 +43,15 @@ def test_pieces_join_to_the_whole(texts):
         assert all(r.decoded == library().decode(want[r.doc_id], skip_special_tokens=False) for r in got)
 
 
+def test_long_blank_texts_keep_their_rows(texts):
+    rows = [" " * 301, "\n\u00a0 " * 200, " " * 301, "a" + " " * 400, " "]
+    want = {i: library().encode(t, add_special_tokens=False).ids for i, t in enumerate(rows)}
+    got = bpe.encode(texts(*rows), long_chars=300, piece_chars=37).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == want and len(got) == len(rows)
+    digests = bpe.encode(texts(*rows), keep=["doc_id"], digest=True, long_chars=300).collect()
+    assert {(r.n_tokens, r.ids_sha256) for r in digests if r.doc_id < 3} == {(0, hashlib.sha256(b"").hexdigest())}
+
+
 def test_digests_and_repeated_rows(texts):
     got = bpe.encode(texts("Hello world", "Hello world", None), keep=["doc_id"], digest=True).orderBy("doc_id").collect()
     ids = library().encode("Hello world", add_special_tokens=False).ids
