@@ -161,12 +161,13 @@ class Model:
 def samples(df: DataFrame, text_col: str, lang_col: str, docs: int = SAMPLE_DOCS, most: int = MOST_LANGUAGES) -> dict[str, list[str]]:
     """Texts of each language: `docs` of them by the smallest hash.  Bounded by docs times most texts."""
     df = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = df.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most).collect()
+    hashed = F.xxhash64(text_col)
+    counts = df.groupBy(lang_col).agg(F.count("*").alias("count"), F.approx_count_distinct(hashed).alias("distinct")).orderBy(F.desc("count"), lang_col).limit(most).collect()
     if not counts:
         return {}
-    # a hash threshold of about four times the wanted share lets few rows through, whatever their number
-    key = F.pmod(F.xxhash64(text_col), F.lit(1 << 40))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], float(min(1.0, (4.0 * docs + 40) / r[1])))])
+    # a hash threshold of about four times the wanted share of the different texts lets few of them through, whatever their number
+    key = F.pmod(hashed, F.lit(1 << 40))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], float(min(1.0, (4.0 * docs + 40) / max(r.distinct, 1))))])
     drawn = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key")).where(F.col("key") < F.lit(float(1 << 40)) * F.element_at(share, F.col("lang")))
     out: dict[str, list] = {r[0]: [] for r in counts}
     for r in drawn.dropDuplicates(["lang", "key"]).select("lang", "key", "text").toLocalIterator():

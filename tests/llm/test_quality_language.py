@@ -102,3 +102,11 @@ def test_language_held_out(spark, texts):
     odd = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(texts(None, "", "12 .", "the and of this"), docs).collect()}
     assert odd[0] == odd[1] == odd[2] == ("und", 0.0) and odd[3][0] != "und"
     assert {r.lang_pred for r in language.identify(texts("some words"), docs.limit(0)).collect()} == {"und"}
+
+
+def test_copies_do_not_crowd_out_a_language(spark):
+    copies = spark.range(40000).selectExpr("'the one text that is copied' as text", "'xx' as lang")
+    few = spark.range(50).selectExpr("concat('another text of number ', id) as text", "'xx' as lang")
+    other = spark.range(500).selectExpr("concat('some words here ', id) as text", "'yy' as lang")
+    got = language.samples(copies.unionByName(few).unionByName(other), "text", "lang")
+    assert len(got["xx"]) == 51 and len(got["yy"]) == language.SAMPLE_DOCS
