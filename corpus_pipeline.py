@@ -24,11 +24,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of shingle sets that link: that with the least doc_id.
+    """One document of each component of five-word shingle sets that link at 80 %: that with the least doc_id.
 
     Documents without words are alone; so are those without a doc_id.
     """
-    found = written(jaccard.jaccard_components(docs), "components")
+    found = written(jaccard.jaccard_components(docs, words=5, percent=80), "components")
     kept = found.where("doc_id = component_id").select("doc_id")
     repeated = found.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count() > 0
     out = docs.join(kept.distinct().hint("shuffle_hash"), "doc_id", "left_semi")

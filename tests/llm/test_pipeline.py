@@ -43,3 +43,31 @@ def test_stages_on_odd_rows(spark):
             out = stage(spark, out, SMALL)
         assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() >= 0
     assert language.MIN_SCORE < 1 and jaccard.PERCENT == 90
+
+
+def test_near_duplicates_link_at_five_words_and_80_percent(spark):
+    vocab, rng = [f"w{i}" for i in range(400)], np.random.default_rng(4)
+    rows = []
+    for g in range(12):
+        base = list(rng.choice(vocab, 200))
+        for edits in (0, 2, 3, 4, 5, 9):
+            w = list(base)
+            for i in np.linspace(20, 180, edits).astype(int) if edits else []:
+                w[i] = f"new{g}_{edits}_{i}"
+            rows.append((len(rows), " ".join(w)))
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            n = len(sets[i] & sets[j])
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((up[i], up[j]))
+                up = [a if u == b else u for u in up]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in dict(P.STAGES)["near_duplicates"](spark, df, SMALL).collect())
+    assert got == sorted(set(up)) and 12 < len(got) < len(rows)
+    assert len({c for _, c in components(rows).values()}) > len(got)
