@@ -3,13 +3,14 @@
 Symbols are the bytes of a text's words, lower-cased in A-Z, with one blank
 between words and one end symbol.  Over the training texts the continuations
 of every context of up to DEPTH symbols are counted; a context does not reach
-past its text's start.  Contexts with at least MIN_SHARE of all symbols are
-candidates, so each depth has at most 1 / MIN_SHARE of them; a candidate is
-retained if its continuations diverge from those of its next shorter context:
-n * KL >= CUT.  A state's distribution is its counts drawn to its parent's
-with the strength SMOOTH.  The states form an automaton whose state is always
-the longest suffix of what was read; texts are cut into blocks that step
-through it together, each after a run-up of DEPTH symbols that fixes its state.
+past its text's start.  A context that occurs LEAST times is retained if its
+continuations diverge from those of its next shorter context: n * KL >= CUT.
+Hash ranges test their own contexts and send the retained ones only, so the
+tree grows with what the data bear out.  A state's distribution is its counts
+drawn to its parent's with the strength SMOOTH.  The states form an automaton
+whose state is always the longest suffix of what was read; texts are cut into
+blocks that step through it together, each after a run-up of DEPTH symbols
+that fixes its state.
 
 The unigram base takes words and one end for each text.  Its counts stay in
 hash ranges; the most frequent words (a count threshold that at most HEAD
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH, MIN_SHARE, CUT, SMOOTH = 6, 5e-6, 6.0, 4.0
+DEPTH, LEAST, CUT, SMOOTH = 6, 2, 6.0, 4.0
 HEAD = 1 << 19
 BLOCK = 256
 END, BLANK = 10, 32
@@ -39,9 +40,12 @@ _U = np.uint64
 END_HASH = _U(0x5EED5EED5EED5EED)
 #: Distinct contexts that a task holds before it hands them on.
 HOLD = 6_000_000
+#: Contexts whose distributions are made at once.
+ROWS = 1 << 14
 #: Counts are placed by the NEAR most recent symbols, so contexts of at least that depth are whole in one part.
 NEAR = 3
 
+LEVEL = "d int, keys binary, counts binary"
 PARTS = "kind string, part int, keys binary, counts binary, n long"
 _PARTS = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())])
 
@@ -118,30 +122,61 @@ def counted(train: DataFrame, text_col: str, parts: int) -> DataFrame:
     return C.written(train.select(text_col).mapInArrow(run, PARTS).groupBy("kind", "part").applyInArrow(reduce, PARTS), "counts")
 
 
-def candidates(counts: DataFrame, total: int, depth: int = DEPTH, min_share: float = MIN_SHARE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth the keys (context, continuation) of the candidate contexts, with counts; bounded by min_share."""
-    least = max(2.0, min_share * total)
+def candidates(counts: DataFrame, depth: int = DEPTH, least: int = LEAST, cut: float = CUT, smooth: float = SMOOTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each depth the keys (context, continuation) of contexts with their counts: all up to NEAR - 1, deeper the retained ones, tested part by part."""
 
-    def run(batches):
+    def near(batches):
         for batch in batches:
             for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k, n = np.frombuffer(keys, "<u8"), np.frombuffer(n, "<i8")
-                for d in range(2, depth + 1):
-                    x, y = at_depth(k, n, d, depth)
-                    if d >= NEAR:
-                        x, y = frequent(x, y, least)
-                    if len(x):
-                        yield pa.RecordBatch.from_pylist([{"d": d, "keys": x.tobytes(), "counts": y.tobytes()}], schema=pa.schema([("d", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
-    rows = counts.where("kind = 'c'").select("keys", "counts").mapInArrow(run, "d int, keys binary, counts binary").toArrow().to_pylist()
-    out = []
-    for d in range(2, depth + 1):
-        some = [r for r in rows if r["d"] == d]
-        out.append(C.tally(C.gathered([r["keys"] for r in some], "<u8"), C.gathered([r["counts"] for r in some], "<i8")))
-    two = out[0]
-    one, zero = at_depth(*two, 1, 2), at_depth(*two, 0, 2)
+                yield _level(NEAR - 1, *at_depth(np.frombuffer(keys, "<u8"), np.frombuffer(n, "<i8"), NEAR - 1, DEPTH))
+
+    table = counts.where("kind = 'c'").select("keys", "counts")
+    two = _gathered(table.mapInArrow(near, LEVEL).toArrow().to_pylist())
     # a context at a text's start has fewer symbols than two: its counts stand at depth one
-    return [zero, one, *[frequent(*strip(k, c), least) for k, c in out]]
+    levels = [at_depth(*two, 0, 2), at_depth(*two, 1, 2), frequent(*strip(*two), least)]
+    keys, n = levels[0]
+    prob = (n + 1 / 256) / (n.sum() + 1)
+    for k, c in levels[1:]:
+        _, prob = tested(k, c, keys, prob, cut, smooth)
+        keys = k
+    held = table.sparkSession.sparkContext.broadcast((keys, prob))
+
+    def deep(batches):
+        for batch in batches:
+            for blob, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k, n = np.frombuffer(blob, "<u8"), np.frombuffer(n, "<i8")
+                above, prob = held.value
+                for d in range(NEAR, depth + 1):
+                    x, y = frequent(*strip(*at_depth(k, n, d, DEPTH)), least)
+                    if not len(x):
+                        break
+                    keep, prob = tested(x, y, above, prob, cut, smooth)
+                    above = x
+                    if keep.any():
+                        yield _level(d, x[keep], y[keep])
+
+    rows = table.mapInArrow(deep, LEVEL).toArrow().to_pylist()
+    return [*levels[: depth + 1], *(_gathered([r for r in rows if r["d"] == d]) for d in range(NEAR, depth + 1))]
+
+
+def _level(d: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"d": d, "keys": keys.tobytes(), "counts": counts.tobytes()}], schema=pa.schema([("d", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
+
+def _gathered(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    return C.tally(C.gathered([r["keys"] for r in rows], "<u8"), C.gathered([r["counts"] for r in rows], "<i8"))
+
+
+def tested(keys: np.ndarray, counts: np.ndarray, above_keys: np.ndarray, above: np.ndarray, cut: float, smooth: float) -> tuple[np.ndarray, np.ndarray]:
+    """(whether its context is retained, probability) of each entry of a depth, from the probabilities of the depth above."""
+    if not len(keys):
+        return np.zeros(0, bool), np.zeros(0)
+    before = above[np.searchsorted(above_keys, ((keys >> _U(16)) << _U(8)) | (keys & _U(255)))]
+    ctx = keys >> _U(8)
+    row = np.concatenate([[0], np.cumsum(ctx[1:] != ctx[:-1])])
+    n = np.bincount(row, counts)[row]
+    keep = (np.bincount(row, counts * np.log(counts / n / before)) >= cut)[row]
+    return keep, np.where(keep, (counts + smooth * before) / (n + smooth), before)
 
 
 def at_depth(keys: np.ndarray, counts: np.ndarray, d: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +198,14 @@ def frequent(keys: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.nda
     return keys[hit], counts[hit]
 
 
+def closed(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Contexts of each depth, with those that the automaton needs on the way to deeper ones; these may have no counts."""
+    out = [np.unique(keys >> _U(8)) for keys, _ in levels]
+    for d in range(len(out) - 1, 1, -1):
+        out[d - 1] = np.unique(np.concatenate([out[d - 1], out[d] >> _U(8), out[d] & _U((1 << (8 * (d - 1))) - 1)]))
+    return out
+
+
 class Tree:
     """The automaton: next state and log10 probability for each state and symbol class."""
 
@@ -176,30 +219,32 @@ class Tree:
         root = np.zeros(width)
         root[:-1] = n_zero
         root = (root + np.append(np.ones(len(seen)), max(rare, 0)) / 256) / (n_zero.sum() + 1)
-        ctx, prob, parent = [np.zeros(1, _U)], [root[None]], [np.zeros(1, np.int64)]
+        found = closed(levels)
+        # one table: probabilities first, then their logarithms in place
+        p = np.empty((1 + sum(len(c) for c in found[1:]), width), np.float32)
+        p[0] = root
+        ctx, parent = [np.zeros(1, _U)], [np.zeros(1, np.int64)]
         base, kept, n_states, starts = 0, [np.ones(1, bool)], 1, [0]
-        for keys, counts in levels[1:]:
-            c, first = np.unique(keys >> _U(8), return_index=True)
+        for c, (keys, counts) in zip(found[1:], levels[1:], strict=True):
             if not len(c):
                 break
             row = np.searchsorted(c, keys >> _U(8))
-            table = np.zeros((len(c), width))
-            table[row, self.symbol[(keys & _U(255)).astype(np.int64)]] = counts
-            up = np.searchsorted(ctx[-1], c >> _U(8)) if len(ctx) > 1 else np.zeros(len(c), np.int64)
-            has = ctx[-1][np.minimum(up, len(ctx[-1]) - 1)] == (c >> _U(8)) if len(ctx) > 1 else np.ones(len(c), bool)
-            c, table, up = c[has], table[has], up[has]
-            if not len(c):
-                break
-            above = prob[-1][up]
-            n = table.sum(1)
-            own = table / n[:, None]
-            diverge = n * np.where(own > 0, own * np.log(np.maximum(own, 1e-300) / above), 0).sum(1)
-            keep = diverge >= cut
-            p = np.where(keep[:, None], (table + smooth * above) / (n[:, None] + smooth), above)
+            sym = self.symbol[(keys & _U(255)).astype(np.int64)]
+            up = np.searchsorted(ctx[-1], c >> _U(8))
+            keep = np.zeros(len(c), bool)
+            for at in range(0, len(c), ROWS):  # bounds the memory of the work tables
+                part = slice(at, min(at + ROWS, len(c)))
+                lo, hi = np.searchsorted(row, [part.start, part.stop])
+                table = np.zeros((part.stop - part.start, width))
+                table[row[lo:hi] - at, sym[lo:hi]] = counts[lo:hi]
+                above = p[up[part] + base].astype(float)
+                n = table.sum(1)
+                own = table / np.maximum(n, 1)[:, None]
+                keep[part] = n * np.where(own > 0, own * np.log(np.maximum(own, 1e-300) / above), 0).sum(1) >= cut
+                p[n_states + part.start : n_states + part.stop] = np.where(keep[part][:, None], (table + smooth * above) / (n[:, None] + smooth), above)
             ctx.append(c)
             parent.append(up + base)
             kept.append(keep)
-            prob.append(p)
             base = n_states
             starts.append(n_states)
             n_states += len(c)
@@ -211,20 +256,17 @@ class Tree:
             need[d - 1][parent[d][at] - starts[d - 1]] = True
             if d > 1:
                 older = ctx[d][at] & _U((1 << (8 * (d - 1))) - 1)
-                i = np.searchsorted(ctx[d - 1], older)
-                i = np.minimum(i, len(ctx[d - 1]) - 1)
-                ok = ctx[d - 1][i] == older
-                need[d - 1][i[ok]] = True
-                need[d][at[~ok]] = False
+                need[d - 1][np.searchsorted(ctx[d - 1], older)] = True
         number = [np.cumsum(m) - 1 for m in need]
         at = np.concatenate([[0], np.cumsum([m.sum() for m in need])])
         self.go = np.zeros((int(at[-1]), width), np.int32)
-        self.logp = np.zeros((int(at[-1]), width), np.float32)
+        wanted = np.concatenate(need)
+        self.logp = p[: len(wanted)] if wanted.all() else p[: len(wanted)][wanted]
+        del p
+        self.logp[:, -1] /= max(rare, 1)  # evenly among the symbols of the last class
+        np.log10(self.logp, out=self.logp)
         for d, m in enumerate(need):
             here = slice(at[d], at[d + 1])
-            p = prob[d][m].copy()
-            p[:, -1] /= max(rare, 1)  # evenly among the symbols of the last class
-            self.logp[here] = np.log10(p)
             if d:
                 up = number[d - 1][parent[d][m] - starts[d - 1]] + at[d - 1]
                 self.go[here] = self.go[up]
@@ -302,7 +344,7 @@ def score(df: DataFrame, train: DataFrame, text_col: str = "text", id_col: str =
     counts = counted(train, text_col, parts)
     sizes = {r.kind: (r.n, r.v) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum(F.length("keys") / 8).cast("long").alias("v")).collect()}
     tokens, distinct = sizes.get("w", (0, 0))
-    levels = candidates(counts, sizes.get("c", (0, 0))[0], depth)
+    levels = candidates(counts, depth)
     held = spark.sparkContext.broadcast((levels, *_head(counts, head)))
     mark = hash((tokens, distinct, tuple(len(k) for k, _ in levels), parts))
     whole = float(tokens + distinct + 1)

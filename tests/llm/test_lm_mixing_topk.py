@@ -69,16 +69,24 @@ def test_candidates_have_all_their_counts(spark, docs, parts):
     keys, counts = zip(*(np.unique(lm.contexts(lm.stream(block([r.text or ""]))[0]), return_counts=True) for r in docs.select("text").collect()), strict=True)
     keys, counts = common.tally(np.concatenate(keys), np.concatenate(counts))
     table = lm.counted(docs, "text", int(parts))
-    levels = lm.candidates(table, int(counts.sum()))
+    levels = lm.candidates(table)
     k, n = lm.strip(*lm.at_depth(keys, counts, 3, lm.DEPTH))
     plain, got = dict(zip(k.tolist(), n.tolist(), strict=True)), dict(zip(*(a.tolist() for a in levels[3]), strict=True))
     assert len(got) > 1000 and all(plain[k] == n for k, n in got.items())
     whole = {k >> 8 for k in got}
     assert len(got) == sum(k >> 8 in whole for k in plain)
-    many = lm.candidates(lm.counted(docs, "text", 7), int(counts.sum()))
+    many = lm.candidates(lm.counted(docs, "text", 7))
     assert all((a == b).all() for x, y in zip(levels, many, strict=True) for a, b in zip(x, y, strict=True))
 
 
+def test_attested_contexts_stay_beside_much_other_text(texts):
+    rare, other = "facade " * 60, "abcdef " * 30_000
+    df = texts(*[other] * 60, rare).select("doc_id", "text").withColumn("held_out", F.col("doc_id") < 0)
+    got = lm.score(texts("facade facade facade").select("doc_id", "text", F.lit(True).alias("held_out")), df).first().score
+    # 60 times "facade" among 12 million symbols: only the first letter is unlikely
+    assert got > -3 * math.log10(60 * 30_000) - 3
+
+
 def shares(sizes, weights=(5, 2, 1), cap=3):
     w = [weights[i % 3] for i in range(len(sizes))]
     target, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
