@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from ..shared import written
 
 #: Text bytes handled at once in one Python worker; a longer single text is its own block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 _MUL = 0x9E3779B97F4A7C15 | 1
@@ -31,39 +32,44 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
 
 
-def map_append(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
-    """Append columns made by fn from Arrow batches; a new column replaces an input column of its name."""
+def map_append(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], fields: list[T.StructField], keep: list[str] | None = None, by: str = "text") -> DataFrame:
+    """Append columns made by fn from Arrow batches, in runs of rows with about BLOCK_BYTES in the column `by`; a new column replaces an input column of its name."""
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep)]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for a, b in cuts(whole.column(whole.schema.get_field_index(by))):
+                batch = whole.slice(a, b - a)
                 made = fn(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [made[f.name] for f in fields], names=names + [f.name for f in fields])
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows with about `most` text bytes each; a null is an empty text."""
-    arr = batch.column(batch.schema.get_field_index(column))
-    if not pa.types.is_large_string(arr.type):
-        arr = arr.cast(pa.large_string())
-    if arr.null_count:
-        arr = arr.fill_null("")
-    _, offs, data = arr.buffers()
-    off = np.frombuffer(offs, np.int64)[arr.offset : arr.offset + len(arr) + 1]
-    buf = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+def cuts(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows with about `most` bytes or values each; a longer row is a run of its own."""
+    size = (pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length)(column).fill_null(0)
+    off = np.concatenate([[0], np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))])
     a = 0
-    while a < len(arr):
-        b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
-        b = min(b, len(arr))
-        yield a, b, buf[off[a] : off[b]], off[a : b + 1] - off[a]
+    while a < len(column):
+        b = min(max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1), len(column))
+        yield a, b
         a = b
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of rows with about `most` text bytes each; a null is an empty text."""
+    whole = batch.column(batch.schema.get_field_index(column))
+    for a, b in cuts(whole, most):
+        arr = whole.slice(a, b - a).cast(pa.large_string()).fill_null("")
+        _, offs, data = arr.buffers()
+        off = np.frombuffer(offs, np.int64)[arr.offset : arr.offset + len(arr) + 1]
+        buf = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        yield a, b, buf[off[0] : off[-1]], off - off[0]
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -195,8 +201,17 @@ def scattered(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int
         yield int(part[a]), [c[a:b].tobytes() for c in columns]
 
 
-def gathered(blobs: list[bytes], dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype)
+def gathered(blobs: list[bytes] | pa.Array | pa.ChunkedArray, dtype: str) -> np.ndarray:
+    """The numbers of all blobs in one array; nulls are empty."""
+    if isinstance(blobs, list):
+        return np.frombuffer(b"".join(blobs), dtype)
+    out = [np.empty(0, dtype)]
+    for chunk in blobs.chunks if isinstance(blobs, pa.ChunkedArray) else [blobs]:
+        _, offs, data = chunk.buffers()
+        if data is not None and len(chunk):
+            off = np.frombuffer(offs, np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            out.append(np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(dtype))
+    return np.concatenate(out)
 
 
 def tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -204,7 +204,7 @@ def identify(df: DataFrame, train: DataFrame, text_col: str = "text", lang_col:
             langs, scores, a = langs + x, scores + y, b
         return {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
 
-    return C.map_append(df, run, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], keep)
+    return C.map_append(df, run, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], keep, text_col)
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

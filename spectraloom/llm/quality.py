@@ -96,7 +96,7 @@ def quality(df: DataFrame, text_col: str = "text", keep: list[str] | None = None
         parts = [measure(buf, off) for _, _, buf, off in C.slices(batch, text_col)]
         return {f.name: pa.array(np.concatenate([p[f.name] for p in parts]), types[f.dataType]) for f in FIELDS}
 
-    return C.map_append(df, run, FIELDS, keep)
+    return C.map_append(df, run, FIELDS, keep, text_col)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -231,7 +231,7 @@ def score(df: DataFrame, train: DataFrame, text_col: str = "text", keep: list[st
             out["evidence"] = pa.array(["; ".join(" ".join(names[t] for t, _ in index.keys[i]) + f" ({c:.3f}, {index.toxic[i]:.0f} of {index.n[i]:.0f})" for i, c in e) for _, e in got], pa.string())
         return out
 
-    return C.map_append(df, run, fields, keep)
+    return C.map_append(df, run, fields, keep, text_col)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -40,43 +40,85 @@ def block(rows):
 def test_stream():
     s, off = lm.stream(block(["A bc", "", "  x\n"]))
     assert bytes(s) == b"a bc\n\nx\n" and off.tolist() == [0, 5, 6, 8]
+    keys = [int(k).to_bytes(7, "big") for k in lm.contexts(s, off)]
+    assert keys[:2] + keys[5:] == [b"\n\0\0\0\0\0a", b"a\n\0\0\0\0 ", b"\n\0\0\0\0\0\n", b"\n\0\0\0\0\0x", b"x\n\0\0\0\0\n"]
+
+
+def plain_model(rows, depth=lm.DEPTH):
+    """(total symbols, counts by context tuple, retained contexts, probability function) of a suffix tree by its definition."""
+    counts = collections.defaultdict(collections.Counter)
+    for row in rows:
+        symbols, _ = lm.stream(block([row]))
+        past = [lm.END, *symbols.tolist()]
+        for i in range(1, len(past)):
+            for d in range(min(depth, i) + 1):
+                counts[tuple(past[i - d : i])][past[i]] += 1
+    total = sum(counts[()].values())
+    retained = set()
+
+    def prob(context, symbol):
+        if not context:
+            return (counts[()][symbol] + 1 / 256) / (total + 1)
+        below = prob(context[1:], symbol)
+        if context not in retained:
+            return below
+        c = counts[context]
+        return (c[symbol] + len(c) * below) / (sum(c.values()) + len(c))
+
+    for context in sorted(counts, key=len):
+        c = counts[context]
+        n = sum(c.values())
+        if context and n >= lm.LEAST and sum(x * math.log(x / n / prob(context[1:], s)) for s, x in c.items()) >= lm.CUT * math.log(total):
+            retained.add(context)
+    return total, counts, retained, prob
+
+
+def plain_score(prob, text, depth=lm.DEPTH):
+    symbols, _ = lm.stream(block([text]))
+    past = [lm.END, *symbols.tolist()]
+    return sum(math.log10(prob(tuple(past[max(0, i - depth) : i]), past[i])) for i in range(1, len(past)))
+
+
+@pytest.mark.parametrize(("parts", "most", "size"), [("1", 1 << 20, 1 << 12), ("4", 300, 1 << 15), ("64", 0, 512)])
+def test_scores_by_definition(spark, texts, parts, most, size):
+    """Any number of hash ranges and any part of the tree beyond the broadcast give the scores of a tree made in one process."""
+    rng = np.random.default_rng(2)
+    rows = ["".join(rng.choice(list("abc d"), 300)) for _ in range(40)] + ["the cat sat on the mat. " * 20, "", "Étude \x00 nul", "b" * 3000, "b" * 3000]
+    _, _, retained, prob = plain_model(rows)
+    assert {len(c) for c in retained} >= {1, 2, 3, 4}
+    asked = [*rows[:5], *rows[40:], "the mat", "zzz ~", "cat" * 700, None]
+    train = texts(*rows, None).select("doc_id", "text").withColumn("held_out", F.lit(False))
+    _, _, retained, prob = plain_model([*rows, ""])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = lm.score(texts(*asked, **{"score": 1, "row": "clash", "part": 2}).withColumn("held_out", F.lit(True)), train, most=most, filter_bytes=size).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(asked)
+    for r in got:
+        assert r.score == pytest.approx(plain_score(prob, asked[r.doc_id] or ""), rel=1e-5)
 
 
-def test_tree_by_definition():
-    rng = np.random.default_rng(2)
-    rows = ["".join(rng.choice(list("ab c"), 60)) for _ in range(40)]
-    s, off = lm.stream(block(rows))
-    keys, counts = np.unique(lm.contexts(s), return_counts=True)
-    levels = [lm.at_depth(keys, counts, 0, lm.DEPTH), lm.at_depth(keys, counts, 1, lm.DEPTH)]
-    levels += [lm.frequent(*lm.strip(*lm.at_depth(keys, counts, d, lm.DEPTH)), 2) for d in range(2, lm.DEPTH + 1)]
-    tree = lm.Tree(levels, cut=2.0)
-    assert tree.retained > 10
-    # the states' distributions sum to one over all 256 symbols
-    width = tree.width
-    total = (10.0 ** tree.logp[:, : width - 1]).sum(1) + (256 - (width - 1)) * 10.0 ** tree.logp[:, -1]
-    assert np.allclose(total, 1, atol=1e-4)
-    got = tree.score(s, off)
-    for i in range(len(rows)):
-        state, sum_ = tree.go[0, tree.symbol[lm.END]], 0.0
-        for c in s[off[i] : off[i + 1]]:
-            sum_ += tree.logp[state, tree.symbol[c]]
-            state = tree.go[state, tree.symbol[c]]
-        assert got[i] == pytest.approx(sum_, rel=1e-5)
-
-
-@pytest.mark.parametrize("parts", ["1", "64"])
-def test_candidates_have_all_their_counts(spark, docs, parts):
-    keys, counts = zip(*(np.unique(lm.contexts(lm.stream(block([r.text or ""]))[0]), return_counts=True) for r in docs.select("text").collect()), strict=True)
-    keys, counts = common.tally(np.concatenate(keys), np.concatenate(counts))
-    table = lm.counted(docs, "text", int(parts))
-    levels = lm.candidates(table)
-    k, n = lm.strip(*lm.at_depth(keys, counts, 3, lm.DEPTH))
-    plain, got = dict(zip(k.tolist(), n.tolist(), strict=True)), dict(zip(*(a.tolist() for a in levels[3]), strict=True))
-    assert len(got) > 1000 and all(plain[k] == n for k, n in got.items())
-    whole = {k >> 8 for k in got}
-    assert len(got) == sum(k >> 8 in whole for k in plain)
-    many = lm.candidates(lm.counted(docs, "text", 7))
-    assert all((a == b).all() for x, y in zip(levels, many, strict=True) for a, b in zip(x, y, strict=True))
+def test_distributions_sum_to_one():
+    rng = np.random.default_rng(3)
+    s, off = lm.stream(block(["".join(rng.choice(list("ab c"), 60)) for _ in range(40)]))
+    keys, counts = np.unique(lm.contexts(s, off), return_counts=True)
+    root, near, above = lm.grown(lm.at_depth(keys, counts, lm.NEAR - 1, lm.DEPTH), len(s))
+    far = lm.deep(keys, counts, above, len(s))
+    tree = lm.Tree(root, np.concatenate([near[0], far[0]]), np.concatenate([near[1], far[1]]))
+    for key in np.unique(lm.contexts(s, off))[:200]:
+        each = (key & np.uint64(~255 & (1 << 64) - 1)) | np.arange(1, 256, dtype=np.uint64)  # symbol 0 does not occur
+        assert (10 ** tree.logs(each)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_table_finds_what_it_has():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(1, 1 << 56, 5000).astype(np.uint64))
+    t = lm.Table(keys, np.arange(len(keys)))
+    assert (t.values[t.find(keys)] == np.arange(len(keys))).all()
+    assert (t.find(rng.integers(1 << 56, 1 << 57, 1000).astype(np.uint64)) == -1).all()
+    assert (lm.Table(keys[:0], np.empty(0)).find(keys) == -1).all()
 
 
 def test_attested_contexts_stay_beside_much_other_text(texts):
@@ -87,6 +129,13 @@ def test_attested_contexts_stay_beside_much_other_text(texts):
     assert got > -3 * math.log10(60 * 30_000) - 3
 
 
+def test_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "some words"), (1, "some words"), (1, "some words"), (2, None)], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    got = lm.score(df, df).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens, r.n_known) for r in got) == [(-1, 3, 3), (1, 3, 3), (1, 3, 3), (2, 1, 1)]
+    assert len({r.score for r in got if r.n_tokens == 3}) == 1
+
+
 def shares(sizes, weights=(5, 2, 1), cap=3):
     w = [weights[i % 3] for i in range(len(sizes))]
     target, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
