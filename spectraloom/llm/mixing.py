@@ -3,12 +3,13 @@
 Words are laid end to end within each source and cut into blocks of BLOCK
 words.  Sources share the total size by weight; a share stops at CAP times its
 source, and the excess is shared again (water filling over sources by cap per
-weight).  A source's share becomes a number of slots.  All slots together are
-dealt to output shards of SHARD_SLOTS by a pseudorandom permutation, so a
-shard's source counts are drawn multinomially from a finite urn (multivariate
-hypergeometric) and each source's total is met.  A source's slots run through
-its block indices by pseudorandom permutations, one for each pass, and the
-blocks are joined by index.
+weight).  A source's share becomes a number of slots.  Shards have SHARD_SLOTS
+slots, and their source counts are a multinomial draw given that each source
+gets its slots in all: the slots of all sources together are dealt to the
+shards by one pseudorandom permutation.  Independent draws would miss a
+source's total by the root of its slots, and could take a document more than
+CAP times.  A source's slots run through its block indices by pseudorandom
+permutations, one for each pass, and the blocks are joined by index.
 
 Permutations are four-round Feistel networks on a * b index pairs with
 a * b at least the number of indices and less than a root of it more; the
@@ -130,11 +131,18 @@ def mix(df: DataFrame, text_col: str = "text", seed: int = 0) -> tuple[DataFrame
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = written(placed(rows, src, n_sources <= BROADCAST_SOURCES, max(64, n // BUCKET_ROWS)), "placed")
     dealt, parts = slots(src, partitions, seed), pieces(at)
-    taken = parts.join(dealt, ["sid", "block"]).groupBy("sid", "off").agg(F.sum("words").alias("taken"))
-    out = at.join(taken, ["sid", "off"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    # the estimate for rows exploded from a few sources is tiny; both sides grow with the data and are merged
+    times = dealt.groupBy("sid", "block").agg(F.count("*").alias("times"))
+    taken = parts.join(times.hint("merge"), ["sid", "block"]).groupBy("sid", "off").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    out = at.join(taken.hint("merge"), ["sid", "off"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     return out, dealt, parts
 
 
+def shard_counts(dealt: DataFrame) -> DataFrame:
+    """(shard, sid, n): the blocks of each source in each output shard."""
+    return dealt.groupBy("shard", "sid").agg(F.count("*").alias("n"))
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     rows, _, _ = mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")

@@ -179,6 +179,29 @@ def test_mix(spark, docs):
     assert mixing.mix(df.limit(0))[0].count() == 0
 
 
+def test_slots_are_not_broadcast(spark, docs):
+    """Only the table of sources, which is checked by count, may be sent to all tasks."""
+    rows, _, _ = mixing.mix(docs)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan and plan.count("SortMergeJoin") >= 2
+
+
+def test_shards_are_drawn(spark):
+    """Over many shards the counts of a source have a multinomial's mean and, for many more slots than a shard has, its variance."""
+    src = spark.createDataFrame([(s, 0, n, float(n)) for s, n in enumerate((6_400_000, 3_200_000, 640_000))], "sid long, weight int, source_size long, target double")
+    planned = mixing.plan(src.withColumn("source", F.col("sid").cast("string")))
+    sizes = {r.sid: r.slots for r in planned.collect()}
+    dealt, total = mixing.slots(planned, 4), sum(sizes.values())
+    counts = collections.defaultdict(list)
+    for r in mixing.shard_counts(dealt).collect():
+        if (r.shard + 1) * mixing.SHARD_SLOTS <= total:
+            counts[r.sid].append(r.n)
+    for sid, n in counts.items():
+        p = sizes[sid] / total
+        assert np.mean(n) == pytest.approx(mixing.SHARD_SLOTS * p, rel=0.03)
+        assert 0.3 < np.var(n) / (mixing.SHARD_SLOTS * p * (1 - p)) < 3
+
+
 def test_feistel_is_a_permutation(spark):
     for a, b in ((1, 1), (3, 4), (7, 7)):
         got = spark.range(a * b).select(mixing._feistel(F.col("id"), F.lit(a).cast("long"), F.lit(b).cast("long"), F.lit(3)).alias("p")).collect()
