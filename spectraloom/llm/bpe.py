@@ -37,7 +37,7 @@ LEAF_CHARS = 128
 #: Characters above which a text is cut into pieces for several tasks, and of such a piece.
 LONG_CHARS, PIECE_CHARS = 1 << 20, 1 << 18
 #: Runs kept with their ids in each worker; when full, the store starts anew.
-CACHE_RUNS = 500_000
+CACHE_RUNS = 100_000
 
 
 def default_path() -> str:
@@ -207,7 +207,7 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text", keep:
         return _columns(model, [model.encode(t or b"") for t in texts], digest)
 
     is_long = F.coalesce(F.length(text_col), F.lit(0)) > long_chars
-    out = map_append(df.where(~is_long), whole, fields, keep)
+    out = map_append(df.where(~is_long), whole, fields, keep, text_col)
     kept = [c for c in df.columns if c not in names and (keep is None or c in keep)]
     # long texts: once for each distinct text, in pieces
     key = F.sha2(F.col(text_col).cast("binary"), 256)
@@ -291,7 +291,7 @@ def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids") -> Data
         model = bpe(path)
         return {"decoded": pa.array([model.decode(i or []) for i in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()], pa.string())}
 
-    return map_append(df, run, [T.StructField("decoded", T.StringType())])
+    return map_append(df, run, [T.StructField("decoded", T.StringType())], by=ids_col)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ sets are one node.  All shingles are in one order, rarest first (counts of the
 commoner ones, then hashes), and each node is indexed under its first
 |x| - ceil(t |x|) + SHARED shingles, its prefix.  What linked sets share of
 their prefixes at least follows from their sizes (must_share), so pairs are
-counted over lists before any set is fetched.  An index list holds its nodes by size and position, and blocks of a list that
-cannot link by size or by the shingles left behind both positions are skipped.
+counted over lists before any set is fetched.  Blocks of an index list that
+cannot link by size or by the shingles left behind their positions are skipped
+(see paired()).  A list longer than HOT lies in several groups in every step.
 
 Near-copies are reduced first.  In every list, size cells choose two leaders,
 the one with the largest share of common shingles and one by hash; a node is compared with the leaders it shares most lists with.  Its
@@ -46,7 +47,13 @@ FEW_IDS = 200_000
 #: Shingles whose counts are broadcast to order the index, at most, and the least such count.
 MOST_COMMON, LEAST_COMMON = 1 << 20, 8
 #: Shingles that a task holds before it hands counts on.
-HOLD = 6_000_000
+HOLD = 1_500_000
+#: Shingles of a hash range, about, and entries of a list or of a list's part that are paired in one group.
+PART_SHINGLES, HOT = 2_000_000, 20_000
+#: Entries in a block of a list.
+SKIP = 64
+#: Nodes that a task remembers in order not to index them again.
+SEEN = 200_000
 #: Bits of a shingle's hash under which it is counted.
 COUNT_BITS = 44
 SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344)
@@ -106,14 +113,14 @@ _FIRST = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("id", pa.int64
 
 
 def _nodes(df: DataFrame, words: int) -> DataFrame:
-    """(id, node, n) of each row of (id, text)."""
+    """(id, th, node, n) of each row of (id, text); th: a hash of the text."""
 
     def run(batches):
         for batch, a, b, w in _blocks(batches, "text"):
             sets = shingle_sets(w, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "node", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "th", "node", "n"])
 
-    return C.written(df.mapInArrow(run, "id long, node long, n long"), "nodes")
+    return C.written(df.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "id long, th long, node long, n long"), "nodes")
 
 
 def _common(df: DataFrame, words: int, parts: int, most: int = MOST_COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -198,12 +205,16 @@ def _common(df: DataFrame, words: int, parts: int, most: int = MOST_COMMON) -> t
     return C.tally(C.gathered(got.column(0).to_pylist(), "<u8"), C.gathered(got.column(1).to_pylist(), "<i8"))
 
 
-LISTS = "kind string, key long, node long, n long, pos long, leader long, lists long"
-_LISTS = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("leader", pa.int64()), ("lists", pa.int64())])
+LISTS = "kind string, key long, node long, n long, pos long, leader long, lists long, cell long, rank long"
+_LISTS = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("leader", pa.int64()), ("lists", pa.int64()), ("cell", pa.int64()), ("rank", pa.int64())])
 
 
-def _index(df: DataFrame, words: int, percent: int, parts: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows e: the entries of lists with two nodes or more; rows s: lists that a node shares with a leader of its cell or the one below, by salt (pos)."""
+def _index(df: DataFrame, words: int, percent: int, parts: int, common: tuple[np.ndarray, np.ndarray], hot: int = HOT) -> DataFrame:
+    """Rows e: the entries of lists with two nodes or more; rows s: lists that a node shares with a leader of its cell or the one below, by salt (pos).
+
+    A list of a shingle that more than `hot` texts have lies in several groups by its nodes' hashes.  Such a group has
+    rows h for its entries, with their size cell, and l for the best of each cell, of which _leaders chooses.
+    """
     held = df.sparkSession.sparkContext.broadcast(common)
     down = _U(64 - COUNT_BITS)
     cell = np.log(100 / percent)
@@ -215,28 +226,35 @@ def _index(df: DataFrame, words: int, percent: int, parts: int, common: tuple[np
         def out():
             cols = [np.concatenate(c) for c in zip(*blobs, strict=True)]
             blobs.clear()
-            part = (C.mix(cols[0]) % _U(parts)).astype(np.int32)
+            sub = C.mix(cols[1].astype(_U)) % np.maximum(cols[5], 1).astype(_U)
+            part = (C.mix(cols[0] + sub * _U(0x9E3779B97F4A7C15)) % _U(parts)).astype(np.int32)
+            cols[5] = (cols[5] > 1).astype(np.uint8)
             for p, data in C.scattered(part, cols):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([d], pa.binary()) for d in data]], names=["part", "key", "node", "n", "pos", "central"])
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([d], pa.binary()) for d in data]], names=["part", "key", "node", "n", "pos", "central", "hot"])
 
         for _, _, _, w in _blocks(batches, "text"):
             for s in shingle_sets(w, words):
                 node = node_of(s)
                 if not len(s) or node in seen:
                     continue
-                if len(seen) < 4_000_000:
+                if len(seen) < SEEN:
                     seen.add(node)
                 n = int(prefix_size(len(s), percent))
+                split = np.zeros(n, np.int32)
                 if len(keys):
                     short = s >> down
                     at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
                     count = np.where(keys[at] == short, counts[at], 0)
-                    first = s[np.lexsort((s, count))[:n]] if count.any() else s[:n]
+                    if count.any():
+                        order = np.lexsort((s, count))[:n]
+                        first, split = s[order], (-(-count[order] // hot)).astype(np.int32)
+                    else:
+                        first = s[:n]
                     # the original of a large group has few shingles that are its own
                     central = int(255 * (count > 0).mean())
                 else:
                     first, central = s[:n], 0
-                blobs.append((first, np.full(n, node, np.int64), np.full(n, len(s), np.int32), np.arange(n, dtype=np.int32), np.full(n, central, np.uint8)))
+                blobs.append((first, np.full(n, node, np.int64), np.full(n, len(s), np.int32), np.arange(n, dtype=np.int32), np.full(n, central, np.uint8), split))
                 size += n
             if size > HOLD // 4:
                 yield from out()
@@ -244,47 +262,66 @@ def _index(df: DataFrame, words: int, percent: int, parts: int, common: tuple[np
         if blobs:
             yield from out()
 
+    def rows(kind: str, count: int, /, **columns) -> pa.Table:
+        return pa.table([pa.array([kind] * count, pa.string()), *[pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(count, pa.int64()) for c in _LISTS.names[1:]]], schema=_LISTS)
+
     def lists(group: pa.Table) -> pa.Table:
-        cols = [C.gathered(group.column(c).to_pylist(), t) for c, t in (("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("central", "u1"))]
+        cols = [C.gathered(group.column(c), t) for c, t in (("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("central", "u1"), ("hot", "u1"))]
         order = np.lexsort((cols[1], cols[0]))
-        key, node, n, pos, central = (c[order] for c in cols)
+        key, node, n, pos, central, split = (c[order] for c in cols)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         more = np.zeros(int(new.sum()), bool)
         more[1:] = key[new][1:] == key[new][:-1]
         more[:-1] |= more[1:]
-        key, node, n, pos, central = (c[new][more].astype(c.dtype if c.dtype == _U else np.int64) for c in (key, node, n, pos, central))
-        out = [pa.table([pa.array(["e"] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(node), pa.array(n), pa.array(pos), pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64())], schema=_LISTS)]
+        more |= split[new] > 0
+        key, node, n, pos, central, split = (c[new][more].astype(c.dtype if c.dtype == _U else np.int64) for c in (key, node, n, pos, central, split))
         size = np.floor(np.log(np.maximum(n, 1)) / cell + 1e-9).astype(np.int64)
+        split = split > 0
+        out = [rows("e", int((~split).sum()), key=key[~split].astype(np.int64), node=node[~split], n=n[~split], pos=pos[~split])]
+        out.append(rows("h", int(split.sum()), key=key[split].astype(np.int64), node=node[split], n=n[split], pos=pos[split], cell=size[split]))
         pairs = []
         for nth, salt in enumerate(SALTS if len(key) else ()):
-            rank = C.mix(node.astype(_U) ^ _U(salt))
-            order = np.lexsort((rank, *([] if nth else [-central]), size, key))
+            rank = C.mix(node.astype(_U) ^ _U(salt)) >> _U(12)
+            if not nth:  # the most central first
+                rank |= (255 - central).astype(_U) << _U(52)
+            order = np.lexsort((rank, size, key))
             k, z, who = key[order], size[order], node[order]
             head = np.ones(len(k), bool)
             head[1:] = (k[1:] != k[:-1]) | (z[1:] != z[:-1])
+            best = head & split[order]
+            out.append(rows("l", int(best.sum()), key=k[best].astype(np.int64), leader=who[best], cell=z[best], pos=np.full(best.sum(), nth), rank=rank[order][best].astype(np.int64)))
+            head &= ~split[order]
             cells = C.mix(k[head]) + z[head].astype(_U) * _U(0x9E3779B97F4A7C15)
             leader = who[head]
             by = np.argsort(cells)
             cells, leader = cells[by], leader[by]
-            for below in (0, 1):
+            for below in (0, 1) if len(cells) else ():
                 want = C.mix(key) + (size - below).astype(_U) * _U(0x9E3779B97F4A7C15)
                 at = np.minimum(np.searchsorted(cells, want), len(cells) - 1)
-                ok = (cells[at] == want) & (leader[at] != node)
+                ok = (cells[at] == want) & (leader[at] != node) & ~split
                 pairs.append((node[ok], leader[at][ok], np.full(ok.sum(), nth), n[ok]))
         if pairs:
             a, b, c, size = (np.concatenate(x) for x in zip(*pairs, strict=True))
             name = np.lexsort((c, b, a))
             a, b, c, size = a[name], b[name], c[name], size[name]
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])) if len(a) else np.empty(0, np.int64)
-            m = len(first)
-            out.append(pa.table([pa.array(["s"] * m, pa.string()), pa.nulls(m, pa.int64()), pa.array(a[first]), pa.array(size[first]), pa.array(c[first]), pa.array(b[first]), pa.array(np.diff(np.append(first, len(a))))], schema=_LISTS))
+            out.append(rows("s", len(first), node=a[first], n=size[first], pos=c[first], leader=b[first], lists=np.diff(np.append(first, len(a)))))
         return pa.concat_tables(out)
 
-    entries = df.mapInArrow(run, "part int, key binary, node binary, n binary, pos binary, central binary")
+    entries = df.mapInArrow(run, "part int, key binary, node binary, n binary, pos binary, central binary, hot binary")
     return C.written(entries.groupBy("part").applyInArrow(lists, LISTS), "lists")
 
 
+def _leaders(lists: DataFrame) -> DataFrame:
+    """Rows s of the lists that lie in several groups: their cells' leaders are chosen from the groups' best."""
+    best = lists.where("kind = 'l'").groupBy("key", "cell", "pos").agg(F.min_by("leader", F.struct("rank", "leader")).alias("leader"))
+    # a cell's leader also leads the cell above
+    best = best.select("key", F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"), "pos", "leader")
+    met = lists.where("kind = 'h'").select("key", "cell", "node", "n").join(best.hint("merge"), ["key", "cell"]).where("node <> leader")
+    return met.groupBy("node", "leader", "pos").agg(F.count("*").alias("lists"), F.min("n").alias("n"))
+
+
 def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, set) of the wanted nodes, from one text each."""
     wanted = C.written(nodes.where("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node", "left_semi"), "wanted")
@@ -349,42 +386,100 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jump.select("node", "comp")
 
 
-def _across(entries: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs (x, y) of nodes of different components that share enough lists and can link by size and position."""
-    known = entries.groupBy("node").agg(F.count("*").alias("shared")).join(labels, "node", "left").select("node", "shared", F.coalesce("comp", "node").alias("comp"))
-    rows = entries.join(known, "node").select(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "key", "node", "n", "pos", "shared", "comp")
-    out = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("lists", pa.int64()), ("need", pa.int64())])
+def paired(key: np.ndarray, side: np.ndarray, size: np.ndarray, pos: np.ndarray, comp: np.ndarray, node: np.ndarray, lists: np.ndarray, percent: int, flush: int = HOLD):
+    """(x, y, need) of the pairs of entries of one list (equal key) that can link by size and position, have different components and, with sides 0 and 1, different sides.
 
-    def run(group: pa.Table) -> pa.Table:
-        cols = [group.column(c).to_numpy() for c in ("key", "node", "n", "pos", "shared", "comp")]
-        order = np.lexsort((cols[3], cols[2], cols[0]))
-        key, node, n, pos, shared, comp = (c[order] for c in cols)
-        cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        mixed = np.minimum.reduceat(comp, cut[:-1]) != np.maximum.reduceat(comp, cut[:-1])
-        found = []
-        for a, b in zip(cut[:-1][mixed].tolist(), cut[1:][mixed].tolist(), strict=True):
-            size, left, label, who, lists = n[a:b], (n - pos)[a:b], comp[a:b], node[a:b], shared[a:b]
-            # entries are by size: only the block up to size / t can link
-            stop = np.searchsorted(size, size * 100 // percent, "right")
-            for i in range(b - a - 1):
-                j = np.arange(i + 1, stop[i])
-                j = j[label[j] != label[i]]
-                need = must_share(size[i], size[j], percent)
+    Entries stand by component and size in blocks of SKIP.  Of two blocks all pairs are skipped at once if they are of
+    one component or side, or if the blocks' sizes, positions and numbers of lists leave too little to share.
+    """
+    order = np.lexsort((pos, size, side, comp, key))
+    key, side, size, pos, comp, node, lists = (c[order] for c in (key, side, size, pos, comp, node, lists))
+    left, last = size - pos, prefix_size(size, percent) - pos  # what stands from the entry on, in the set and in its prefix
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    found, held = [], 0
+    for a, b in zip(new.tolist(), np.append(new[1:], len(key)).tolist(), strict=True):
+        start = np.arange(a, b, SKIP)
+        stop = np.minimum(start + SKIP, b)
+        small, large = np.minimum.reduceat(size[a:b], start - a), np.maximum.reduceat(size[a:b], start - a)
+        most, ahead = np.maximum.reduceat(left[a:b], start - a), np.maximum.reduceat(last[a:b], start - a)
+        shared = np.maximum.reduceat(lists[a:b], start - a)
+        one = np.minimum.reduceat(comp[a:b], start - a) == np.maximum.reduceat(comp[a:b], start - a)
+        flat = np.minimum.reduceat(side[a:b], start - a) == np.maximum.reduceat(side[a:b], start - a)
+        before = np.maximum.reduceat(pos[a:b], start - a)
+        for i in range(len(start)):
+            j = np.arange(i, len(start))
+            # sizes in reach; enough elements left behind both positions, with at most the smaller position before
+            lo, hi = np.maximum(small[i], small[j]), np.minimum(large[i], large[j])
+            ok = lo * percent <= hi * 100
+            ok &= ~(one[i] & one[j] & (comp[start[i]] == comp[start[j]]))
+            ok &= ~(flat[i] & flat[j] & (side[start[i]] >= 0) & (side[start[i]] == side[start[j]]))
+            ok &= np.minimum(most[i], most[j]) + np.minimum(before[i], before[j]) >= needed(small[i] + small[j], percent)
+            ok &= (np.minimum(shared[i], shared[j]) >= 1) & (np.minimum(ahead[i], ahead[j]) >= 1)
+            for k in j[ok].tolist():
+                x, y = np.arange(start[i], stop[i])[:, None], np.arange(start[k], stop[k])[None, :]
+                n, m = size[x], size[y]
+                fit = (comp[x] != comp[y]) & ((side[x] < 0) | (side[x] != side[y])) & (np.maximum(n, m) * percent <= np.minimum(n, m) * 100)
+                if i == k:
+                    fit &= x < y
+                if not fit.any():
+                    continue
+                p, q = np.nonzero(fit)
+                x, y = p + start[i], q + start[k]
+                need = must_share(size[x], size[y], percent)
                 # no more common shingles than lists of either; before both positions no more than the earlier one
                 # the first of them lie early in both prefixes, so later entries of a pair need not be counted
                 first = np.minimum(SHARED, need)
-                early = (size[i] - left[i] < prefix_size(size[i], percent) - need + first) & (size[j] - left[j] < prefix_size(size[j], percent) - need + first)
-                ok = early & (np.minimum(lists[i], lists[j]) >= need) & (np.minimum(left[j], left[i]) >= needed(size[j] + size[i], percent) - np.minimum(size[i] - left[i], size[j] - left[j]))
-                j = j[ok]
-                if len(j):
-                    found.append(np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j]), first[ok]]))
-        x, y, need = np.concatenate(found, 1) if found else np.empty((3, 0), np.int64)
-        order = np.lexsort((y, x))
-        x, y, need = x[order], y[order], need[order]
-        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.empty(0, np.int64)
-        return pa.table([pa.array(x[first]), pa.array(y[first]), pa.array(np.diff(np.append(first, len(x)))), pa.array(need[first])], schema=out)
-
-    pairs = rows.groupBy("part").applyInArrow(run, "x long, y long, lists long, need long")
+                fit = (last[x] > need - first) & (last[y] > need - first) & (np.minimum(lists[x], lists[y]) >= need)
+                fit &= np.minimum(left[x], left[y]) >= needed(size[x] + size[y], percent) - np.minimum(pos[x], pos[y])
+                if fit.any():
+                    u, v = node[x[fit]], node[y[fit]]
+                    found.append(np.stack([np.minimum(u, v), np.maximum(u, v), first[fit]]))
+                    held += int(fit.sum())
+                    if held > flush:
+                        yield np.concatenate(found, 1)
+                        found, held = [], 0
+    if found:
+        yield np.concatenate(found, 1)
+
+
+PAIRS = "x long, y long, lists long, need long"
+
+
+def _across(entries: DataFrame, labels: DataFrame, percent: int, parts: int, hot: int = HOT) -> DataFrame:
+    """Pairs (x, y) of nodes of different components that share enough lists and can link by size and position.
+
+    Lists of one component are left out.  In a list of more than `hot` entries those of its largest component meet the
+    others only; both lie in cells of about `hot` entries, and a group holds two cells.
+    """
+    known = entries.groupBy("node").agg(F.count("*").alias("shared")).join(labels, "node", "left").select("node", "shared", F.coalesce("comp", "node").alias("comp"))
+    rows = C.written(entries.join(known, "node").select("key", "node", "n", "pos", "shared", "comp"), "entries")
+    by = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("top"))
+    mixed = by.where("comps > 1").select("key", F.when(F.col("c") > hot, F.col("top.comp")).alias("top"), F.ceil(F.col("top.c") / hot).alias("cells"), F.ceil((F.col("c") - F.col("top.c")) / hot).alias("rest"))
+    rows = rows.join(mixed.hint("merge"), "key")
+    large, mine = F.col("top").isNotNull(), F.col("comp") == F.col("top")
+    at = F.pmod(F.xxhash64("node"), F.when(mine, F.col("cells")).otherwise(F.col("rest")))
+
+    def group(u, v, side):
+        return F.struct(F.xxhash64("key", u, v).alias("list"), side.cast("long").alias("side"))
+
+    with_top = F.transform(F.sequence(F.lit(0).cast("long"), F.when(mine, F.col("rest")).otherwise(F.col("cells")) - 1), lambda o: group(F.when(mine, at).otherwise(o), F.when(mine, o).otherwise(at), mine))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1), lambda o: group(-1 - F.least(at, o), -1 - F.greatest(at, o), F.when(at == o, -1).otherwise((at > o).cast("int"))))
+    groups = F.when(~large, F.array(group(F.lit(0), F.lit(0), F.lit(-1)))).when(mine, with_top).otherwise(F.concat(with_top, others))
+    rows = rows.select("node", "n", "pos", "shared", "comp", F.explode(groups).alias("g"))
+    rows = rows.select(F.pmod(F.col("g.list"), F.lit(parts)).cast("int").alias("part"), F.col("g.list").alias("key"), F.col("g.side").alias("side"), "node", "n", "pos", "shared", "comp")
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("lists", pa.int64()), ("need", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        made = []
+        for x, y, need in paired(*(group.column(c).to_numpy() for c in ("key", "side", "n", "pos", "comp", "node", "shared")), percent):
+            order = np.lexsort((y, x))
+            x, y, need = x[order], y[order], need[order]
+            first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+            made.append(pa.table([pa.array(x[first]), pa.array(y[first]), pa.array(np.diff(np.append(first, len(x)))), pa.array(need[first])], schema=out))
+        return pa.concat_tables(made) if made else out.empty_table()
+
+    # few bytes, much work: no fewer tasks than parts
+    pairs = rows.repartition(parts, "part").groupBy("part").applyInArrow(run, PAIRS)
     return pairs.groupBy("x", "y").agg(F.sum("lists").alias("lists"), F.max("need").alias("need")).where("lists >= need").select("x", "y")
 
 
@@ -412,14 +507,20 @@ def _derived(pairs: DataFrame, base: DataFrame, sets: DataFrame, percent: int) -
     return both.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id_col, n_shingles, component_id, node) of each row."""
+def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+    """(id_col, n_shingles, component_id, th, class) of each row.
+
+    class: a name of the component, null for texts without words; th: xxhash64 of the text.
+    """
     spark = df.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     nodes = _nodes(df, words)
-    lists = _index(df, words, percent, parts, _common(df, words, parts))
-    entries, shared = lists.where("kind = 'e'"), lists.where("kind = 's'")
+    shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // PART_SHINGLES))
+    lists = _index(df, words, percent, parts, _common(df, words, parts), hot)
+    entries, shared = lists.where("kind in ('e', 'h')").select("key", "node", "n", "pos"), lists.where("kind = 's'").select("node", "leader", "pos", "lists", "n")
+    if lists.where("kind = 'l'").limit(1).count():
+        shared = shared.unionByName(_leaders(lists))
 
     star = shared.groupBy("node", "leader", "pos").agg(F.sum("lists").alias("lists"), F.min("n").alias("n"))
     star = star.where(F.col("lists") >= F.least(F.lit(SHARED), F.floor(F.col("n") * (percent * percent) / 10000)))
@@ -430,7 +531,7 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     linked = checked.where("link")
     labels = components(linked)
 
-    pairs = C.written(_across(entries, labels, percent, parts), "pairs")
+    pairs = C.written(_across(entries, labels, percent, parts, hot), "pairs")
     edges = linked.select("a", "b")
     if pairs.limit(1).count():
         least = linked.groupBy(F.col("b").alias("x")).agg(F.min_by(F.struct(F.col("a").alias("c"), "gone", "come"), F.struct(F.length("gone") + F.length("come"), F.col("a"))).alias("l"))
@@ -447,10 +548,10 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     # the least id of each component, by node first so that equal sets do not crowd
     by_node = nodes.where("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = by_node.groupBy("comp").agg(F.min("id").alias("component_id"))
-    names = by_node.select("node", "comp").join(least, "comp").select("node", "component_id")
+    names = by_node.select("node", "comp").join(least, "comp").select("node", "comp", "component_id")
     out = nodes.join(names, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), "node")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), "th", F.when(F.col("n") > 0, F.col("comp")).alias("class"))
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
