@@ -122,15 +122,15 @@ def byte_sums(buf: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words (runs of bytes that are not ASCII white space) of a block of texts, by arrays.
+    """Words (runs of bytes that are not in `space`, ASCII white space) of a block of texts, by arrays.
 
     start, end: byte offsets; first[d] .. first[d + 1]: the words of text d; doc: text of each word.
     """
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False, space: np.ndarray = SPACE):
         self.buf = LOWER[buf] if lower else buf
         self.off, n = off, len(buf)
-        self.space = sp = SPACE[self.buf]
+        self.space = sp = space[self.buf]
         begin, stop = ~sp, ~sp
         if n:
             begin[1:] &= sp[:-1] | False
@@ -222,3 +222,33 @@ def tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(counts[order], first)
+
+
+class Table:
+    """Values by 64-bit key: keys in the order of a hash, with the first of each bucket."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = _U(64 - max(1, int(len(keys)).bit_length()))
+        bucket = self._bucket(keys)
+        order = np.argsort(bucket, kind="stable")
+        self.keys, self.values = np.append(keys[order], _U(0)), np.append(values[order], values.dtype.type(0))
+        self.start = np.zeros((1 << (64 - int(self.shift))) + 1, np.int32)
+        np.cumsum(np.bincount(bucket.astype(np.int64), minlength=len(self.start) - 1), out=self.start[1:])
+
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _U(0x9E3779B97F4A7C15)) >> self.shift
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """Place of each asked key, or -1."""
+        b = self._bucket(asked).astype(np.int64)
+        at, end = self.start[b], self.start[b + 1]
+        out = np.full(len(asked), -1, np.int32)
+        live = np.flatnonzero(at < end)
+        at, end, asked = at[live], end[live], asked[live]
+        while len(live):
+            hit = self.keys[at] == asked
+            out[live[hit]] = at[hit]
+            at += 1
+            more = ~hit & (at < end)
+            live, at, end, asked = live[more], at[more], end[more], asked[more]
+        return out

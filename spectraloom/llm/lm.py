@@ -242,41 +242,11 @@ def frequent(keys: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.nda
     return keys[hit], counts[hit]
 
 
-class Table:
-    """Values by 64-bit key: keys in the order of a hash, with the first of each bucket."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = _U(64 - max(1, int(len(keys)).bit_length()))
-        bucket = self._bucket(keys)
-        order = np.argsort(bucket, kind="stable")
-        self.keys, self.values = np.append(keys[order], _U(0)), np.append(values[order], values.dtype.type(0))
-        self.start = np.zeros((1 << (64 - int(self.shift))) + 1, np.int32)
-        np.cumsum(np.bincount(bucket.astype(np.int64), minlength=len(self.start) - 1), out=self.start[1:])
-
-    def _bucket(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * _U(0x9E3779B97F4A7C15)) >> self.shift
-
-    def find(self, asked: np.ndarray) -> np.ndarray:
-        """Place of each asked key, or -1."""
-        b = self._bucket(asked).astype(np.int64)
-        at, end = self.start[b], self.start[b + 1]
-        out = np.full(len(asked), -1, np.int32)
-        live = np.flatnonzero(at < end)
-        at, end, asked = at[live], end[live], asked[live]
-        while len(live):
-            hit = self.keys[at] == asked
-            out[live[hit]] = at[hit]
-            at += 1
-            more = ~hit & (at < end)
-            live, at, end, asked = live[more], at[more], end[more], asked[more]
-        return out
-
-
 class Tree:
     """Scores by the longest retained suffix: entries of contexts and the single symbols' log10 probabilities."""
 
     def __init__(self, root: np.ndarray, keys: np.ndarray, logs: np.ndarray, depth: int = DEPTH):
-        self.root, self.table, self.depth = root, Table(keys, logs), depth
+        self.root, self.table, self.depth = root, C.Table(keys, logs), depth
 
     def logs(self, key: np.ndarray) -> np.ndarray:
         """log10 probability of the symbol of each key (see contexts()) after its context."""
@@ -407,7 +377,7 @@ def score(df: DataFrame, train: DataFrame, text_col: str = "text", id_col: str =
     least = _least(contexts_, "<i8", "n", most)
     deep_keys, deep_logs, _ = _meeting(contexts_, [("keys", "<u8"), ("logs", "<f4"), ("n", "<i8")], least)
     tree = Tree(root, np.concatenate([near_keys, deep_keys]), np.concatenate([near_logs, deep_logs]), depth)
-    known = Table(word_keys, np.log10((word_counts + 1) / whole))
+    known = C.Table(word_keys, np.log10((word_counts + 1) / whole))
     held = spark.sparkContext.broadcast((tree, known, Filter(_beyond(contexts_, least, filter_bytes), depth)))
 
     def run(batches):
@@ -465,7 +435,7 @@ def score(df: DataFrame, train: DataFrame, text_col: str = "text", id_col: str =
         keys = C.gathered(group.filter(group.column("held").is_valid()).column("keys"), "<u8")
         asked, row = C.gathered(group.filter(group.column("rows").is_valid()).column("keys"), "<u8"), C.gathered(group.column("rows"), "<i8")
         if kind == "w":
-            n = Table(keys, C.gathered(group.column("held"), "<i8"))
+            n = C.Table(keys, C.gathered(group.column("held"), "<i8"))
             at = n.find(asked)
             c = np.where(at >= 0, n.values[at], 0)
             logs, found = np.log10((c + 1) / whole), (c > 0).astype(np.int64)

@@ -115,10 +115,10 @@ def test_distributions_sum_to_one():
 def test_table_finds_what_it_has():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(1, 1 << 56, 5000).astype(np.uint64))
-    t = lm.Table(keys, np.arange(len(keys)))
+    t = common.Table(keys, np.arange(len(keys)))
     assert (t.values[t.find(keys)] == np.arange(len(keys))).all()
     assert (t.find(rng.integers(1 << 56, 1 << 57, 1000).astype(np.uint64)) == -1).all()
-    assert (lm.Table(keys[:0], np.empty(0)).find(keys) == -1).all()
+    assert (common.Table(keys[:0], np.empty(0)).find(keys) == -1).all()
 
 
 def test_attested_contexts_stay_beside_much_other_text(texts):

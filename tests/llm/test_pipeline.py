@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -21,7 +22,7 @@ def test_stages(spark, docs):
     two = stage["language_id"](spark, one, SMALL).cache()
     assert two.count() > 0.95 * one.count() and two.columns == list(P.COLUMNS)
     three = stage["near_duplicates"](spark, two, SMALL).cache()
-    groups = components([(r.doc_id, r.text) for r in two.collect()])
+    groups = components([(r.doc_id, r.text) for r in two.collect()], 80, 5)
     assert sorted(r.doc_id for r in three.collect()) == sorted(i for i, (_, c) in groups.items() if i == c)
     four = stage["mix_sources"](spark, three, SMALL).cache()
     copies = collections.Counter(r.doc_id for r in four.collect())
@@ -71,3 +72,11 @@ def test_near_duplicates_link_at_five_words_and_80_percent(spark):
     got = sorted(r.doc_id for r in dict(P.STAGES)["near_duplicates"](spark, df, SMALL).collect())
     assert got == sorted(set(up)) and 12 < len(got) < len(rows)
     assert len({c for _, c in components(rows).values()}) > len(got)
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (7, b), (None, c), (None, c), (8, c + " end"), (9, " "), (9, " "), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("_hash", F.lit("clash"))
+    got = dict(P.STAGES)["near_duplicates"](spark, df, SMALL).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(5, a), (5, b), (8, c + " end"), (9, " "), (9, " "), (None, None)], key=str)

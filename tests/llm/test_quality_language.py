@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from spectraloom.llm import language, quality
+from spectraloom.llm import common, language, quality
 
 
 def brute(text):
@@ -51,32 +51,32 @@ def parse(text, ref):
     return n
 
 
+def _edges(m):
+    """Keys and values of all transitions but the first of each state."""
+    at, c = np.nonzero(m.dense >= 0)
+    state = np.flatnonzero(m.row >= 0)[at]
+    return state.astype(np.uint64) << np.uint64(16) | c.astype(np.uint64), m.dense[at, c]
+
+
 def test_phrases_by_brute_force():
+    """Blocks and languages together give the sequential parse of whole texts, and the prediction made from it."""
     rng = np.random.default_rng(1)
     make = lambda letters, n: "".join(rng.choice(list(letters), n))
-    m = language.Model({"a": [make("abcde ", 400)], "b": [make("cdefg ", 300), make("cdefg ", 200)]}, sample_codes=450)
-    rows = ["", "abc", make("abcdefgh .", 700), "中文" * 40, make("xyz", 50)]
-    seq, off, _ = language.codes(rows, m.table)
-    got = m.phrases(seq, off)
-    for k, lang in enumerate(m.langs):
-        table, root = m.go.reshape(-1, 64), m.roots[k]
-
-        def known(piece, table=table, root=root):
-            s = root
-            for c in piece:
-                s = table[s, c]
-                if s < 0:
-                    return False
-            return True
-
-        class Ref:
-            def __contains__(self, piece):
-                return known(piece)
-
-        for i in range(len(rows)):
-            part = seq[off[i] : off[i + 1]].tolist()
-            blocks = [part[j : j + language.BLOCK] for j in range(0, len(part), language.BLOCK)]
-            assert got[k, i] == sum(parse(b, Ref()) for b in blocks)
+    samples = {"a": [make("abcde ", 1400)], "b": [make("cdefg ", 300), make("cdefg ", 200)], "c": ["abc" * 300]}
+    m = language.Model(samples, sample_codes=1450)
+    rows = ["", "abc", make("abcdefgh .", 700), "中文" * 400, make("xyz", 50), samples["a"][0][100:1300] * 3, samples["b"][0] + samples["a"][0], "abc" * 500 + make("abcde", 900), "abc" * 2000, "x" * 257, None]
+    seq, off, letters = language.codes([r or "" for r in rows], m.table)
+    got, text = m.phrases(seq, off), lambda codes: "".join(chr(100 + c) for c in codes)
+    want = np.array([[parse(text(seq[off[i] : off[i + 1]]), "".join(text(language.codes([t], m.table)[0]) + chr(100) for t in samples[lang])) for i in range(len(rows))] for lang in m.langs])
+    assert (got == want).all() and len({len(s) for s in samples["a"]}) == 1
+    plain = language.Model(samples, sample_codes=1450)
+    plain.dense, plain.others = None, common.Table(*_edges(plain))
+    assert (plain.phrases(seq, off) == want).all()
+    langs, scores = m.predict(rows)
+    for i in range(len(rows)):
+        missing = [sum(m.first[k, c] == m.roots[k] for c in seq[off[i] : off[i + 1]]) for k in range(3)]
+        cost = [(n - x) * b + x * m.literal for n, x, b in zip(want[:, i], missing, m.bits, strict=True)]
+        assert langs[i] == (m.langs[int(np.argmin(cost))] if letters[i] else "und") and 0 <= scores[i] <= 1
 
 
 def test_suffix_automaton_knows_all_substrings():
@@ -89,10 +89,25 @@ def test_suffix_automaton_knows_all_substrings():
         for t in itertools.product((1, 2, 3), repeat=n):
             s = 0
             for c in t:
-                s = go[s, c] if s >= 0 else -1
+                s = go[s].get(c, -1) if s >= 0 else -1
             assert (s >= 0) == (t in subs)
 
 
+def test_language_odd_rows(spark):
+    """Many languages, scripts of many letters, copies, long texts, clashing columns, nulls and empty tables."""
+    rng = np.random.default_rng(2)
+    letters = {f"l{k:03}": [chr(0x4E00 + 40 * k + i) for i in range(40)] for k in range(230)}
+    make = lambda lang, n: "".join(rng.choice(letters[lang], n))
+    rows = [(make(lang, 60), lang) for lang in letters] + [("copied words", "copy")] * 500 + [(None, "none"), ("text without", None)]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    asked = [make("l007", 300_000), make("l229", 50), "copied words", "copied words", None, "", " 12 "]
+    df = spark.createDataFrame([(1, t, "clash", 2.0) for t in asked], "doc_id long, text string, lang_pred string, score double")
+    got = language.identify(df.withColumn("bits", F.lit("clash")), train).collect()
+    assert [r.lang_pred for r in got] == ["l007", "l229", "copy", "copy", "und", "und", "und"] and got[0].bits == "clash"
+    assert language.identify(df.limit(0), train).count() == 0
+    assert {r.lang_pred for r in language.identify(df, train.limit(0)).collect()} == {"und"}
+
+
 def test_language_held_out(spark, texts):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
