@@ -10,10 +10,11 @@ labelled rows.  Vectors have length one.
 
 Examples are distinct labelled texts with the number of their rows and of the
 toxic ones.  They lie in blocks of an inverted index in which every term has
-its largest weight per block.  A query sums these into a bound for each block,
-scores the blocks with the largest bounds, and goes on only to blocks whose
-bound reaches its K-th best cosine, so the K nearest are exact (ties: smaller
-example number).  Votes are weighted by 1 / (distance + SPREAD) and by how
+its largest weight per block.  The DENSE commonest terms, which nearly every
+block has, are a matrix instead: one product gives what they add for a run of
+queries.  A query sums both into a bound for each block, scores the blocks with
+the largest bounds, and goes on only to blocks whose bound reaches its K-th
+best cosine, so the K nearest are exact (ties: smaller example number).  Votes are weighted by 1 / (distance + SPREAD) and by how
 many rows an example stands for, and drawn to the rate of all rows with the
 strength PRIOR.
 
@@ -41,10 +42,12 @@ from . import common as C
 
 STEM = 4
 K, SPREAD, PRIOR, THRESHOLD = 24, 0.05, 1.0, 0.3
-MOST_EXAMPLES, MOST_BYTES = 4096, 1 << 25
+MOST_EXAMPLES, MOST_BYTES = 2048, 1 << 24
 BLOCK = 64
 #: Blocks that a query scores before it compares bounds; texts whose scores a task remembers.
 FIRST, SAME = 8, 50_000
+#: Terms whose weights are a matrix, and queries that are multiplied with it at once.
+DENSE, QUERIES = 256, 128
 #: Ranges of terms that are counted apart.
 SLOTS = 64
 _U = np.uint64
@@ -89,15 +92,24 @@ class Index:
     def __init__(self, names: np.ndarray, stands: np.ndarray, share: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray], hashes: np.ndarray, weight: np.ndarray, rate: float):
         self.names, self.stands, self.share, self.rate = names, stands, share, rate
         self.vocab, self.weight = C.Table(hashes, np.arange(len(hashes), dtype=np.int32)), weight
-        self.blocks = (len(names) + BLOCK - 1) // BLOCK
+        self.blocks, self.number = (len(names) + BLOCK - 1) // BLOCK, None
         example, h, tf = entries
         example, term, w = self.unit(example, h, tf, len(names))
+        # the commonest terms come first
+        often = np.argsort(-np.bincount(term, minlength=len(hashes)), kind="stable")
+        self.number = np.empty(len(hashes), np.int32)
+        self.number[often] = np.arange(len(hashes))
+        term = self.number[term]
+        self.dense = np.zeros((min(DENSE, len(hashes)), self.blocks * BLOCK))
+        few = term >= len(self.dense)
+        self.dense[term[~few], example[~few]] = w[~few]
+        example, term, w = example[few], term[few], w[few]
         order = np.lexsort((example, term))
         self.at, term, self.w = example[order].astype(np.int32), term[order], w[order]
         block = self.at // BLOCK
         first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
         #: of each (term, block): the block, its largest weight, and where its entries start
-        self.block, self.most, self.start = block[first], np.maximum.reduceat(self.w, first) if len(first) else self.w, np.append(first, len(term))
+        self.block, self.most, self.start = block[first].astype(np.int32), np.maximum.reduceat(self.w, first) if len(first) else self.w, np.append(first, len(term))
         self.of = np.searchsorted(term[first], np.arange(len(hashes) + 1))
 
     def unit(self, doc: np.ndarray, h: np.ndarray, tf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,32 +119,45 @@ class Index:
         ok = (at >= 0) & (self.weight[term] > 0) if len(self.weight) else np.zeros(len(h), bool)
         doc, term, tf = doc[ok], term[ok], tf[ok]
         w = (1 + np.log(tf)) * self.weight[term]
-        return doc, term, w / np.sqrt(np.bincount(doc, w * w, n))[doc]
-
-    def nearest(self, term: np.ndarray, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, best first."""
+        return doc, term if self.number is None else self.number[term], w / np.sqrt(np.bincount(doc, w * w, n))[doc]
+
+    def common(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+        """What the commonest terms add to the cosines of n queries with all examples."""
+        ok = term < len(self.dense)
+        queries = np.zeros((n, len(self.dense)))
+        queries[doc[ok], term[ok]] = q[ok]
+        return queries @ self.dense
+
+    def nearest(self, term: np.ndarray, q: np.ndarray, cosine: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest with a cosine above 0, best first; cosine: what the commonest terms add."""
+        ok = term >= len(self.dense)
+        term, q = term[ok], q[ok]
         lo, hi = self.of[term], self.of[term + 1]
         at = spans(lo, hi)
         q, block = np.repeat(q, hi - lo), self.block[at]
-        bound = np.bincount(block, q * self.most[at], self.blocks)
+        base = cosine.reshape(-1, BLOCK).max(1)
+        bound = base + np.bincount(block, q * self.most[at], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        cosine, worst, part = np.zeros(self.blocks * BLOCK), 0.0, order[:FIRST]
+        worst, part, done = 0.0, order[:FIRST], np.zeros(self.blocks, bool)
         while len(part):
+            done[part] = True
             chosen = np.zeros(self.blocks, bool)
             chosen[part] = True
             some = np.flatnonzero(chosen[block])
             start, stop = self.start[at[some]], self.start[at[some] + 1]
             p = spans(start, stop)
-            cosine += np.bincount(self.at[p], np.repeat(q[some], stop - start) * self.w[p], len(cosine))
+            cosine = cosine + np.bincount(self.at[p], np.repeat(q[some], stop - start) * self.w[p], len(cosine))
             if len(part) == len(order):
                 break
-            if len(cosine) > k:
-                worst = np.partition(cosine, -k)[-k]
+            if done.sum() * BLOCK > k:
+                worst = np.partition(cosine.reshape(-1, BLOCK)[done].ravel(), -k)[-k]
             order = order[len(part) :]
             # blocks left whose bound does not reach the worst of the k have none of them
             part = order = order[bound[order] >= worst - 1e-9]
-        found = np.flatnonzero(cosine)
+        found = np.flatnonzero(np.repeat(done, BLOCK) & (cosine > 0))
+        if len(found) > 4 * k:
+            found = found[cosine[found] >= np.partition(cosine[found], -k)[-k] - 1e-9]
         best = np.lexsort((found, -np.round(cosine[found], 9)))[:k]
         return found[best], cosine[found[best]]
 
@@ -148,12 +173,17 @@ class Index:
         doc, term, q = self.unit(*terms(texts), len(texts))
         cut = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
         out = []
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if a == b:
-                out.append((self.rate, []))
-                continue
-            ids, cosines = self.nearest(term[a:b], q[a:b])
-            out.append((self.vote(ids, cosines), list(zip(ids.tolist(), cosines.tolist(), strict=True))))
+        for lo in range(0, len(texts), QUERIES):
+            hi = min(lo + QUERIES, len(texts))
+            here = slice(cut[lo], cut[hi])
+            added = self.common(doc[here] - lo, term[here], q[here], hi - lo)
+            for i in range(lo, hi):
+                a, b = cut[i], cut[i + 1]
+                if a == b:
+                    out.append((self.rate, []))
+                    continue
+                ids, cosines = self.nearest(term[a:b], q[a:b], added[i - lo])
+                out.append((self.vote(ids, cosines), list(zip(ids.tolist(), cosines.tolist(), strict=True))))
         return out
 
 

@@ -111,18 +111,21 @@ def test_scores_by_brute_force(spark):
     assert got[60].score == got[61].score and toxicity.score(df.limit(0), train).count() == 0
 
 
-def test_blocks_are_skipped():
-    """With fewer blocks at first the nearest are the same."""
+@pytest.mark.parametrize("matrix", [0, 40, 300])
+def test_blocks_are_skipped(matrix, monkeypatch):
+    """Whatever the number of terms in the matrix, the nearest are the same."""
+    monkeypatch.setattr(toxicity, "DENSE", matrix)
     rng = np.random.default_rng(5)
     h = np.sort(rng.integers(1, 1 << 60, 300).astype(np.uint64))
     entries = [np.concatenate(x) for x in zip(*((np.full(12, i), np.sort(rng.choice(h[i // 200 * 30 :], 12, False)), rng.integers(1, 5, 12)) for i in range(1000)), strict=True)]
     ix = toxicity.Index(np.arange(1000), np.ones(1000), np.zeros(1000), tuple(entries), h, 1 + rng.random(300), 0.0)
     dense = np.zeros((1024, 300))
+    dense[:, : len(ix.dense)] = ix.dense.T
     dense[ix.at, np.repeat(np.repeat(np.arange(300), np.diff(ix.of)), np.diff(ix.start))] = ix.w
     for _ in range(100):
         doc, term, q = ix.unit(np.zeros(8, np.int64), np.sort(rng.choice(h, 8, False)), rng.integers(1, 4, 8), 1)
         cos = dense[:, term] @ q
-        ids, got = ix.nearest(term, q)
+        ids, got = ix.nearest(term, q, ix.common(doc, term, q, 1)[0])
         assert got == pytest.approx(np.sort(cos)[::-1][: len(got)]) and cos[ids] == pytest.approx(got) and len(got) == min(toxicity.K, (cos > 0).sum())
 
 
