@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectraloom.llm import bpe, jaccard, language, mixing, quality
@@ -24,17 +24,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle sets that link at 80 %: that with the least doc_id.
+    """One document of each component of five-word shingle sets that link at 80 %.
 
-    Documents without words are alone; so are those without a doc_id.
+    It is the one with the least doc_id (null last), and of several texts under that doc_id the one with the least
+    hash; of repeated rows the first by the other columns stays.  Documents without words are linked with nothing and stay.
     """
-    found = written(jaccard.jaccard_components(docs, words=5, percent=80), "components")
-    kept = found.where("doc_id = component_id").select("doc_id")
-    repeated = found.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count() > 0
-    out = docs.join(kept.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    if repeated:
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*COLUMNS).unionAll(docs.where("doc_id is null").select(*COLUMNS))
+    found = written(jaccard.jaccard_components(docs, words=5, percent=80).where("class is not null"), "components")
+    first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
+    kept = first.select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(mixing.WORD)
+    keyed = docs.where(worded).withColumn("_hash", F.xxhash64("text"))
+    out = keyed.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left_semi")
+    if found.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        first = Window.partitionBy("doc_id", "_hash").orderBy("lang", "source", "n_chars")
+        out = out.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return out.select(*COLUMNS).unionAll(docs.where(~worded).select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
