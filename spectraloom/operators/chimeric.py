@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chem import ISOTOPE, PROTON, PrecursorTolerance, averagine_of
+from ..functions.chem import ISOTOPE, PROTON, PrecursorTolerance, Tolerance, averagine_of
 from ..functions.names import HIGH_RESOLUTION
+from ..shared import written
 from .match import MatchOptions, precursor_matches
 from .model import Model
 from .score import _masses, scored
@@ -61,8 +65,8 @@ def detect(mz: np.ndarray, intensity: np.ndarray, low: float, high: float, selec
 FOUND = "spectrum_idx long, nth int, co_mz double, co_charge int, co_mass double"
 
 
-def coisolated(linked: DataFrame, tolerance: PrecursorTolerance, charges: tuple[int, int]) -> DataFrame:
-    """Co-isolated precursors of MS2 rows with ms1_peaks and isolation offsets."""
+def coisolated(linked: DataFrame, tolerance: PrecursorTolerance, charges: tuple[int, int], width: float = FALLBACK_WINDOW) -> DataFrame:
+    """Co-isolated precursors of MS2 rows with ms1_peaks and isolation offsets; `width` stands in for an offset that is not known."""
 
     def run(batches):
         schema = pa.schema([("spectrum_idx", pa.int64()), ("nth", pa.int32()), ("co_mz", pa.float64()), ("co_charge", pa.int32()), ("co_mass", pa.float64())])
@@ -72,12 +76,15 @@ def coisolated(linked: DataFrame, tolerance: PrecursorTolerance, charges: tuple[
                 peaks = r["ms1_peaks"] or []
                 mz, inten = np.array([p["mz"] for p in peaks]), np.array([p["intensity"] for p in peaks])
                 c = r["precursor_mz"]
-                low, high = c - (r["isolation_lower"] or FALLBACK_WINDOW), c + (r["isolation_upper"] or FALLBACK_WINDOW)
+                low, high = c - (r["isolation_lower"] or width), c + (r["isolation_upper"] or width)
                 tol = max(float(tolerance.left.as_da(c)), LEAST_TOLERANCE)
                 rows += [{"spectrum_idx": r["spectrum_idx"], "nth": i, "co_mz": m, "co_charge": z, "co_mass": mass} for i, (m, z, mass) in enumerate(detect(mz, inten, low, high, c, charges, tol))]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return linked.select("spectrum_idx", "precursor_mz", "isolation_lower", "isolation_upper", "ms1_peaks").mapInArrow(run, FOUND)
+    # peaks of the window and of the envelopes that may begin in it
+    low, high = F.coalesce(F.nullif("isolation_lower", F.lit(0.0)), F.lit(width)) + 1, F.coalesce(F.nullif("isolation_upper", F.lit(0.0)), F.lit(width)) + ENVELOPE + 1
+    near = F.filter("ms1_peaks", lambda p: (p["mz"] >= F.col("precursor_mz") - low) & (p["mz"] <= F.col("precursor_mz") + high))
+    return linked.select("spectrum_idx", "precursor_mz", "isolation_lower", "isolation_upper", near.alias("ms1_peaks")).mapInArrow(run, FOUND)
 
 
 def claimed_keys(mz: np.ndarray, intensity: np.ndarray, masses: np.ndarray, ppm: bool) -> list[int]:
@@ -92,7 +99,7 @@ def claimed_keys(mz: np.ndarray, intensity: np.ndarray, masses: np.ndarray, ppm:
 
 
 def residual(spectra: DataFrame, claims: DataFrame, model: Model) -> DataFrame:
-    """spectra without the peaks that their claims (spectrum_idx, residues) take; those without a claim as they are."""
+    """spectra without the peaks that their claims (spectrum_idx, residues; any number each) take; those without a claim as they are."""
     ppm = model.instrument in HIGH_RESOLUTION
 
     def run(batches):
@@ -104,31 +111,55 @@ def residual(spectra: DataFrame, claims: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["spectrum_idx", "claimed"])
 
     taken = spectra.select("spectrum_idx", "peaks").join(claims.select("spectrum_idx", "residues"), "spectrum_idx").select("spectrum_idx", "peaks", "residues").mapInArrow(run, "spectrum_idx long, claimed array<long>")
+    taken = taken.groupBy("spectrum_idx").agg(F.flatten(F.collect_list("claimed")).alias("claimed"))
     out = spectra.join(taken, "spectrum_idx", "left")
-    free = F.filter("peaks", lambda p: ~F.array_contains("claimed", F.round(p["mz"] * 1000).cast("long")))
-    return out.withColumn("peaks", F.when(F.col("claimed").isNull(), F.col("peaks")).otherwise(free)).drop("claimed")
+    return out.withColumn("peaks", F.when(F.col("claimed").isNull(), F.col("peaks")).otherwise(unclaimed(F.col("peaks"), F.col("claimed")))).drop("claimed")
 
 
-def secondaries(spectra: DataFrame, found: DataFrame, primary: DataFrame, candidates: DataFrame, model: Model, options: MatchOptions, enzyme) -> DataFrame:
-    """The best other peptide of each co-isolated precursor, in order of detection, each on the peaks its predecessors leave.
+def unclaimed(peaks, claimed):
+    """Peaks whose thousandths of m/z are not among the claimed ones."""
+    return F.filter(peaks, lambda p: ~F.array_contains(claimed, F.round(p["mz"] * 1000).cast("long")))
+
+
+class _AtLeast(Tolerance):
+    """A tolerance of LEAST_TOLERANCE Da at least."""
+
+    def as_da(self, mass):
+        width = super().as_da(mass)
+        return F.greatest(width, F.lit(LEAST_TOLERANCE)) if isinstance(width, Column) else np.maximum(width, LEAST_TOLERANCE)
 
-    primary: spectrum_idx, cand_idx and residues of the first match.  At most
-    MOST rounds, each a join of its own.
+
+def rounds(spectra: DataFrame, found: DataFrame, primary: DataFrame, candidates: DataFrame, model: Model, options: MatchOptions, enzyme) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
+    """For each co-isolated precursor in order of detection: (residual spectra, all scored candidates, the best of each spectrum).
+
+    primary: spectrum_idx, cand_idx and residues of the first match, whose
+    peptide is not found again.  A round's best take their peaks of the whole
+    spectrum away from the next round.  At most MOST rounds, each a join of its own.
     """
-    claims, out, left = primary, None, spectra
+    side = _AtLeast(options.tolerance.left.value, options.tolerance.left.unit)
+    options = replace(options, isotopes=(0, 0), min_peaks=0, tolerance=PrecursorTolerance(side, side))
     same = F.struct("sequence", "pre", "post", F.transform("residues", lambda r: r["mod_delta"]).alias("mods"))
     known = candidates.withColumn("form", same).select("cand_idx", "form")
-    taken = primary.select("spectrum_idx", "cand_idx").join(known, "cand_idx").select("spectrum_idx", "form")
+    first = primary.select("spectrum_idx", "cand_idx").join(known, "cand_idx").select("spectrum_idx", "form")
+    claims = primary.select("spectrum_idx", "residues")
+    spectra = spectra.join(found.select("spectrum_idx").distinct(), "spectrum_idx", "left_semi")
     for i in range(MOST):
-        left = residual(left, claims, model)
-        one = found.where(F.col("nth") == i)
-        some = left.join(one.select("spectrum_idx", "co_mz", "co_charge"), "spectrum_idx").withColumn("precursor_mz", F.col("co_mz")).withColumn("precursor_charge", F.col("co_charge"))
-        matches = precursor_matches(some.drop("co_mz", "co_charge"), candidates, options)
-        matches = matches.join(known, "cand_idx").join(taken, ["spectrum_idx", "form"], "left_anti").drop("form")
+        one = found.where(F.col("nth") == i).select("spectrum_idx", "co_mz", "co_charge")
+        some = residual(spectra, claims, model).join(one, "spectrum_idx").withColumns({"precursor_mz": F.col("co_mz"), "precursor_charge": F.col("co_charge")}).drop("co_mz", "co_charge")
+        some = written(some, "residual")
+        matches = precursor_matches(some, candidates, options)
+        matches = matches.join(known, "cand_idx").join(first, ["spectrum_idx", "form"], "left_anti").drop("form")
         got = scored(matches, some, candidates, model, enzyme).join(one.select("spectrum_idx", F.col("co_mz").alias("precursor_mz_override")), "spectrum_idx")
+        got = written(got, "secondary")
         best = got.groupBy("spectrum_idx").agg(F.max_by(F.struct(*[c for c in got.columns if c != "spectrum_idx"]), F.struct("rank_score", (-F.col("cand_idx")).alias("c"))).alias("b")).select("spectrum_idx", "b.*")
-        claims = best.select("spectrum_idx", "residues")
-        taken = taken.unionByName(best.select("spectrum_idx", "cand_idx").join(known, "cand_idx").select("spectrum_idx", "form"))
+        yield some, got, best
+        claims = claims.unionByName(best.select("spectrum_idx", "residues"))
+
+
+def secondaries(spectra: DataFrame, found: DataFrame, primary: DataFrame, candidates: DataFrame, model: Model, options: MatchOptions, enzyme) -> DataFrame:
+    """The best other peptide of each co-isolated precursor, see rounds()."""
+    out = None
+    for _, _, best in rounds(spectra, found, primary, candidates, model, options, enzyme):
         out = best if out is None else out.unionByName(best)
     return out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .topn import worst_if_nan
 
 # The calibration of precursor masses.
@@ -16,17 +17,26 @@ SIGMAS, MARGIN, FLOOR, MAD_SCALE = 3.0, 0.5, 2.0, 1.4826
 def q_values(df: DataFrame, score: str, decoy: str) -> DataFrame:
     """df with q: the least rate of decoys to targets at or below each score, the worst of equal scores, at most 1.
 
-    Counts are made for distinct scores first, so the ordered windows see one
-    row for each distinct score, whatever the number of rows.
+    Counts are made for distinct scores first.  The scores are dealt to ranges
+    in order; running counts and least rates run within a range, and only the
+    sums of the ranges, one row each, meet in one task.
     """
     value = worst_if_nan(F.col(score))
     by = df.groupBy(value.alias("_s")).agg(F.sum(F.when(F.col(decoy), 1).otherwise(0)).alias("_d"), F.sum(F.when(F.col(decoy), 0).otherwise(1)).alias("_t"))
-    down = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, since the range a row falls into must not change between the steps
+    by = written(by.repartitionByRange(n, F.desc("_s")).withColumn("_p", F.spark_partition_id()), "rates")
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = by.groupBy("_p").agg(F.sum("_d").alias("_pd"), F.sum("_t").alias("_pt"))
+    sums = sums.select("_p", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_pd", "_pt")])
+    down = Window.partitionBy("_p").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # targets of a score come before its decoys: the last row of a score has the worst rate of it
-    rate = F.sum("_d").over(down) / F.greatest(F.sum("_t").over(down), F.lit(1))
-    by = by.withColumn("_rate", rate)
-    up = Window.orderBy(F.desc("_s")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    by = by.withColumn("q", F.least(F.lit(1.0), F.min("_rate").over(up))).select("_s", "q")
+    rate = (F.col("_pd") + F.sum("_d").over(down)) / F.greatest(F.col("_pt") + F.sum("_t").over(down), F.lit(1))
+    by = by.join(F.broadcast(sums), "_p").withColumn("_rate", rate)
+    later = Window.orderBy("_p").rowsBetween(1, Window.unboundedFollowing)
+    least = by.groupBy("_p").agg(F.min("_rate").alias("_least")).select("_p", F.min("_least").over(later).alias("_after"))
+    up = Window.partitionBy("_p").orderBy(F.desc("_s")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    by = by.join(F.broadcast(least), "_p").select("_s", F.least(F.lit(1.0), F.min("_rate").over(up), F.col("_after")).alias("q"))
     return df.withColumn("_s", value).join(by, "_s").drop("_s")
 
 
@@ -56,9 +66,14 @@ def tightened_ppm(user: float, sigma: Column) -> Column:
 
 
 def systematic_sample(df: DataFrame, order: list[str], stride: int = STRIDE, cap: int = SAMPLE_CAP) -> DataFrame:
-    """Every stride-th row in an order, at most cap; the sample is the operator's result."""
-    w = Window.orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w) - 1).where((F.col("_n") % stride == 0) & (F.col("_n") < stride * cap)).drop("_n")
+    """Every stride-th row in an order, at most cap; the sample is the operator's result.
+
+    The columns of the order name a row.  Only they are sorted, down to the
+    first stride * cap; the rows themselves are fetched by them.
+    """
+    first = df.select(*order).orderBy(*order).limit(stride * cap)
+    some = first.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("_n") % stride == 0).drop("_n")
+    return df.join(F.broadcast(some), order, "left_semi")
 
 
 def entrapment(df: DataFrame, prefix: str = "ENT_") -> DataFrame:

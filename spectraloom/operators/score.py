@@ -50,24 +50,48 @@ def _per_spectrum(matches: DataFrame, spectra: DataFrame, model: Model, kinds: l
     return matches.groupBy("spectrum_idx").cogroup(some.groupBy("_spectrum")).applyInArrow(run, schema)
 
 
+def _all_scores(once: DataFrame, spectra: DataFrame, model: Model) -> DataFrame:
+    """(spectrum_idx, charge, cand_idx, node_score, edge_score) of rows (spectrum_idx, charge, cand_idx, masses): all of a spectrum and charge in one call."""
+    held = once.sparkSession.sparkContext.broadcast(model)
+    out = pa.schema([("spectrum_idx", pa.int64()), ("charge", pa.int32()), ("cand_idx", pa.int64()), ("node_score", pa.float32()), ("edge_score", pa.int32())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows or not left.num_rows:
+            return out.empty_table()
+        left = left.combine_chunks()
+        peaks = right.column("_peaks").combine_chunks().slice(0, 1).flatten()
+        mz, intensity = (peaks.field(f).to_numpy(zero_copy_only=False) for f in ("mz", "intensity"))
+        masses = left.column("masses").combine_chunks()
+        values, off = masses.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(masses.value_lengths().to_numpy(zero_copy_only=False))])
+        charge = left.column("charge").to_numpy()
+        raw, edge = np.zeros(len(charge), np.float32), np.zeros(len(charge), np.int32)
+        for z in np.unique(charge).tolist():
+            at = np.flatnonzero(charge == z)
+            size = np.diff(off)[at]
+            own = np.concatenate([[0], np.cumsum(size)])
+            flat = values[np.repeat(off[at] - own[:-1], size) + np.arange(int(own[-1]))]
+            s = ScoredSpectrum(mz, intensity, right.column("_mz")[0].as_py(), z, held.value)
+            raw[at], edge[at] = s.scores(flat, own)
+        return pa.table([left.column("spectrum_idx"), left.column("charge"), left.column("cand_idx"), pa.array(raw), pa.array(edge)], schema=out)
+
+    some = spectra.select(F.col("spectrum_idx").cast("long").alias("_spectrum"), F.col("precursor_mz").alias("_mz"), F.col("peaks").alias("_peaks"))
+    left = once.select(F.col("spectrum_idx").cast("long").alias("spectrum_idx"), F.col("charge").cast("int").alias("charge"), F.col("cand_idx").cast("long").alias("cand_idx"), "masses")
+    return left.groupBy("spectrum_idx").cogroup(some.groupBy("_spectrum")).applyInArrow(run, "spectrum_idx long, charge int, cand_idx long, node_score float, edge_score int")
+
+
 def scored(matches: DataFrame, spectra: DataFrame, candidates: DataFrame, model: Model, enzyme: Enzyme) -> DataFrame:
     """matches with node_score, cleavage, edge_score, score (node + cleavage), rank_score (score + edge) and mass_key.
 
     The scores do not depend on the isotope, so they are computed once for each
     spectrum, charge and candidate.  Equal peptides of several proteins are
-    scored once.
+    scored once; what travels to the scoring is their residues' masses.
     """
     some = candidates.select("cand_idx", "sequence", "residues", "pre", "post", "nominal_residue_mass")
+    some = some.withColumn("_form", F.xxhash64("sequence", F.transform("residues", lambda r: r["mod_delta"])))
     joined = matches.select("spectrum_idx", "charge", "cand_idx").join(some, "cand_idx")
-    key = F.xxhash64("sequence", F.transform("residues", lambda r: r["mod_delta"]))
-    joined = joined.withColumn("_form", key)
-    once = joined.groupBy("spectrum_idx", "charge", "_form").agg(F.min_by(F.struct("cand_idx", "residues"), "cand_idx").alias("c")).select("spectrum_idx", "charge", "_form", "c.cand_idx", "c.residues")
-
-    def fn(s: ScoredSpectrum, row: dict) -> dict:
-        m = _masses(row["residues"])
-        return {"node_score": s.raw_score(m), "edge_score": s.edge_score(m)}
-
-    got = _per_spectrum(once, spectra, model, [("node_score", "float"), ("edge_score", "int")], fn)
+    masses = F.transform("residues", lambda r: r["mass"] + F.coalesce(r["mod_delta"], F.lit(0.0)))
+    once = joined.groupBy("spectrum_idx", "charge", "_form").agg(F.min_by(F.struct("cand_idx", masses.alias("masses")), "cand_idx").alias("c")).select("spectrum_idx", "charge", "_form", "c.cand_idx", "c.masses")
+    got = _all_scores(once, spectra, model)
     forms = once.select("spectrum_idx", "charge", "cand_idx", "_form").join(got, ["spectrum_idx", "charge", "cand_idx"]).drop("cand_idx")
     n = F.length("sequence")
     cleavage = cleavage_score(F.col("pre"), F.substring("sequence", 1, 1), F.substring("sequence", n, F.lit(1)), F.col("post"), enzyme)

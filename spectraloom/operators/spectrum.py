@@ -97,6 +97,7 @@ class ScoredSpectrum:
         self.edge_part = self.parts[-1] if self.parts else last
         self.main_ion = model.main_ion(last)
         self._nodes: dict[bool, np.ndarray] = {}
+        self._edges: tuple[np.ndarray, np.ndarray] | None = None
 
     def _strength(self) -> None:
         """Least place by strength in every run of 2**k peaks, so that any window's strongest peak takes two looks."""
@@ -210,6 +211,46 @@ class ScoredSpectrum:
             total += int(np.clip(np.nan_to_num(half_away(np.float64(np.float32(s))), nan=0.0), -(2**31), 2**31 - 1))
         return total
 
+    def scores(self, values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """raw_score and edge_score of many peptides at once: residue masses laid end to end."""
+        n = np.diff(off)
+        raw, edge = np.zeros(len(n)), np.zeros(len(n), np.int64)
+        if self.charge == 0 or not len(n) or n.max() < 2:
+            return raw, edge
+        wide = int(n.max())
+        col = np.arange(wide)
+        inside = col < n[:, None]
+        at = np.where(inside, off[:-1, None] + col, 0)
+        sums = np.cumsum(np.where(inside, values[at], 0.0), 1)  # from the left, as for one peptide
+        split = col[:-1] < n[:, None] - 1
+        heads, whole = nominal_of(sums[:, :-1]), nominal_of(sums[np.arange(len(n)), np.maximum(n - 1, 0)])
+        score = np.zeros(split.shape, np.float32)
+        score[split] = half_away(self.nodes(heads[split], True) + self.nodes((whole[:, None] - heads)[split], False))
+        raw = score.sum(1).astype(float)
+        m = self.model
+        if m.error_scale == 0 or not m.existence:
+            return raw, edge
+        full = np.concatenate([np.zeros((len(n), 1)), sums], 1)
+        nominals = nominal_of(full)
+        r, c = np.nonzero(split)
+        if self.main_ion[0] == "prefix":
+            cur, prev, theory = nominals[r, c + 1], nominals[r, c], full[r, c + 1] - full[r, c]
+        else:
+            end = nominals[r, n[r]]
+            cur, prev, theory = end - nominals[r, c + 1], end - nominals[r, c + 2], full[r, c + 2] - full[r, c + 1]
+        a, b = self.observed(cur), self.observed(prev)
+        pattern = (~np.isnan(a)).astype(int) + 2 * (~np.isnan(b)).astype(int)
+        if self._edges is None:
+            scale = m.error_scale
+            self._edges = np.array([m.existence_score(self.edge_part, k, self.peak_chance) for k in range(4)]), np.array([m.error_score(self.edge_part, (k - scale) / scale) for k in range(2 * scale + 1)])
+        existence, errors = self._edges
+        s = existence[pattern].astype(float)
+        both = pattern == 3
+        x = (a - b - theory)[both].astype(np.float32) * np.float32(m.error_scale)
+        s[both] += errors[(np.clip(half_away(x), -m.error_scale, m.error_scale) + m.error_scale).astype(int)]
+        step = np.clip(np.nan_to_num(half_away(s.astype(np.float32).astype(float)), nan=0.0), -(2**31), 2**31 - 1).astype(np.int64)
+        return raw, np.bincount(r, step, len(n)).astype(np.int64)
+
     def density(self, mz: np.ndarray) -> np.ndarray:
         """Peaks per Da around each m/z, of the peaks as they were read."""
         return (np.searchsorted(self.raw_mz, mz + DENSITY_HALF, "right") - np.searchsorted(self.raw_mz, mz - DENSITY_HALF, "left")) / (2 * DENSITY_HALF)

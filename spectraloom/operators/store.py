@@ -174,41 +174,65 @@ class Store:
         return names
 
 
-def _rebuilt(store: Store, model_id: str, ledger: list[dict], options: EstimateOptions) -> None:
-    """Re-estimate a model from the stats and weights of a ledger (source and stat rows)."""
-    spark = store.spark
+def rebuilt(store: Store, model_id: str, changed: list[dict], options: EstimateOptions = EstimateOptions()) -> Model:
+    """A model estimated again from the stats and weights of a ledger (source and stat rows)."""
     template = load_model(store.read(), model_id)
-    held = frame(spark, ledger)
+    held = frame(store.spark, changed)
     weights = held.where("record_kind = 'source'").select("source_id", "weight")
-    model = estimate(combined(source_stats(held, model_id), weights), template, options)
-    store.put(model_id, model_rows(model_id, model) + ledger)
+    return estimate(combined(source_stats(held, model_id), weights), template, options)
 
 
-def _ledger(store: Store, model_id: str) -> list[dict]:
+def _commit(store: Store, model_id: str, changed: list[dict], options: EstimateOptions) -> None:
+    store.put(model_id, model_rows(model_id, rebuilt(store, model_id, changed, options)) + changed)
+
+
+def ledger(store: Store, model_id: str) -> list[dict]:
+    """The source and stat rows of a model; few."""
     some = store.read().where((F.col("model_id") == model_id) & F.col("record_kind").isin("source", "stat"))
     return [r.asDict(recursive=True) for r in some.toLocalIterator()]
 
 
+def with_source(held: list[dict], rows: list[dict]) -> list[dict]:
+    new = {r["source_id"] for r in rows}
+    if not rows:
+        raise KeyError("there is no such source")
+    if new & {r["source_id"] for r in held}:
+        raise ValueError(f"the model already has the source {sorted(new)}")
+    return held + rows
+
+
+def without_source(held: list[dict], source_id: str) -> list[dict]:
+    left = [r for r in held if r["source_id"] != source_id]
+    if len(left) == len(held):
+        raise KeyError(f"the model has no source {source_id}")
+    return left
+
+
+def with_weight(held: list[dict], source_id: str, weight: float) -> list[dict]:
+    if source_id not in {r["source_id"] for r in held}:
+        raise KeyError(f"the model has no source {source_id}")
+    return [r | ({"weight": float(weight)} if r["record_kind"] == "source" and r["source_id"] == source_id else {}) for r in held]
+
+
+def with_decay(store: Store, model_id: str, held: list[dict], half_life: float, today: str) -> list[dict]:
+    new = {r.source_id: r.weight for r in decayed(sources(store.read(), model_id), half_life, today).collect()}
+    return [r | ({"weight": new[r["source_id"]]} if r["record_kind"] == "source" else {}) for r in held]
+
+
 def add_source(store: Store, model_id: str, rows: list[dict], options: EstimateOptions = EstimateOptions()) -> None:
-    ledger, new = _ledger(store, model_id), {r["source_id"] for r in rows}
-    if new & {r["source_id"] for r in ledger}:
-        raise ValueError(f"{model_id} already has the source {sorted(new)}")
-    _rebuilt(store, model_id, ledger + rows, options)
+    _commit(store, model_id, with_source(ledger(store, model_id), rows), options)
 
 
 def remove_source(store: Store, model_id: str, source_id: str, options: EstimateOptions = EstimateOptions()) -> None:
-    ledger = _ledger(store, model_id)
-    left = [r for r in ledger if r["source_id"] != source_id]
-    if len(left) == len(ledger):
-        raise KeyError(f"{model_id} has no source {source_id}")
-    _rebuilt(store, model_id, left, options)
+    _commit(store, model_id, without_source(ledger(store, model_id), source_id), options)
 
 
 def reweight(store: Store, model_id: str, source_id: str, weight: float, options: EstimateOptions = EstimateOptions()) -> None:
-    ledger = _ledger(store, model_id)
-    if source_id not in {r["source_id"] for r in ledger}:
-        raise KeyError(f"{model_id} has no source {source_id}")
-    _rebuilt(store, model_id, [r | ({"weight": float(weight)} if r["record_kind"] == "source" and r["source_id"] == source_id else {}) for r in ledger], options)
+    _commit(store, model_id, with_weight(ledger(store, model_id), source_id, weight), options)
+
+
+def decay(store: Store, model_id: str, half_life: float, today: str, options: EstimateOptions = EstimateOptions()) -> None:
+    _commit(store, model_id, with_decay(store, model_id, ledger(store, model_id), half_life, today), options)
 
 
 def decayed(sources: DataFrame, half_life: float, today: str) -> DataFrame:
@@ -217,8 +241,3 @@ def decayed(sources: DataFrame, half_life: float, today: str) -> DataFrame:
         raise ValueError("the half life must be above 0")
     age = age_days(F.col("date"), today)
     return sources.withColumn("weight", F.when(age.isNull(), F.col("weight")).otherwise(F.col("weight") * F.pow(F.lit(2.0), -age / half_life)).cast("float"))
-
-
-def decay(store: Store, model_id: str, half_life: float, today: str, options: EstimateOptions = EstimateOptions()) -> None:
-    new = {r.source_id: r.weight for r in decayed(sources(store.read(), model_id), half_life, today).collect()}
-    _rebuilt(store, model_id, [r | ({"weight": new[r["source_id"]]} if r["record_kind"] == "source" else {}) for r in _ledger(store, model_id)], options)

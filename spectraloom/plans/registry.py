@@ -16,6 +16,7 @@ from ..functions.mods import VariantTable
 from ..operators import digest, fdr, intensity, match, topn, train
 from ..operators.digest import DigestOptions
 from ..operators.match import MatchOptions
+from ..shared import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -458,7 +459,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as proteins with decoys, digested and matched by mass to orders as precursors."""
     p = doc_proteins(spark, sf_dir).withColumn("protein_index", F.col("protein_index") * 2)
     decoys = p.withColumns({"protein_index": F.col("protein_index") + 1, "accession": names.decoy_accession(F.col("accession")), "sequence": F.reverse("sequence"), "is_decoy": F.lit(True)})
-    cands = digest.candidates(p.unionByName(decoys))
+    cands = written(digest.candidates(p.unionByName(decoys)), "candidates")  # read twice
     o = table(spark, sf_dir, "orders")
     spectra = o.select(F.col("o_orderkey").alias("spectrum_idx"), (F.col("o_totalprice") / 200 + 300).alias("precursor_mz"), F.lit(None).cast("int").alias("precursor_charge"), F.array(F.lit(0)).alias("peaks"))
     return match.precursor_matches(spectra, cands, MatchOptions(min_peaks=1)).join(cands.select("cand_idx", "sequence", "is_decoy"), "cand_idx")

@@ -7,9 +7,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chem import ISOTOPE, PROTON, enzymatic_boundary, internal_boundaries
+from ..functions.chem import H2O, ISOTOPE, PROTON, RESIDUE_MASS, enzymatic_boundary, internal_boundaries, neutral_mass, nominal
 from ..functions.mods import VariantTable
-from ..functions.text import peptide_text, report_number
+from ..functions.text import parse_peptide, peptide_text, report_number
+from ..operators.chimeric import FALLBACK_WINDOW, coisolated, rounds
 from ..operators.digest import DigestOptions, candidates
 from ..operators.fdr import LEAST_KEYS, LEAST_RESIDUALS, RESIDUAL_CAP, RESIDUAL_PPM, RESIDUAL_Q, best_per_spectrum, q_values, robust_spread, systematic_sample, tightened_ppm
 from ..operators.match import MatchOptions, narrowed, precursor_matches, usable, with_charges
@@ -29,6 +30,8 @@ class SearchOptions:
     strong: bool = False
     #: Matches kept for each spectrum before the strong re-ranking.
     strong_retention: int = 25
+    #: Stands in for an isolation offset that a spectrum does not tell.
+    isolation_half_width: float = FALLBACK_WINDOW
 
 
 def build_candidates(proteins: DataFrame, table: VariantTable | None = None, options: SearchOptions = SearchOptions()) -> tuple[DataFrame, DataFrame]:
@@ -37,8 +40,11 @@ def build_candidates(proteins: DataFrame, table: VariantTable | None = None, opt
     return both, written(candidates(both, table, options.digest), "candidates")
 
 
-def search(spectra: DataFrame, cands: DataFrame, model: Model, options: SearchOptions = SearchOptions(), intensity_model=None) -> DataFrame:
-    """Ranked matches with candidate_idxs, scores, features and the values their spectrum shares."""
+def search(spectra: DataFrame, cands: DataFrame, model: Model, options: SearchOptions = SearchOptions(), intensity_model=None, linked: DataFrame | None = None) -> DataFrame:
+    """Ranked matches with candidate_idxs, scores, features and the values their spectrum shares.
+
+    linked: spectra with ms1_peaks, in which co-isolated precursors are looked for; their matches are rows of their own.
+    """
     o = options.match
     keep = max(o.top_n, options.strong_retention) if options.strong else o.top_n
     spectra = usable(spectra, o.min_peaks)
@@ -49,22 +55,54 @@ def search(spectra: DataFrame, cands: DataFrame, model: Model, options: SearchOp
     psms = written(with_features(written(top, "top"), spectra, model, intensity_model), "features")
 
     # per spectrum, over all candidates of all charges
-    once = all_scored.select("spectrum_idx", "charge", "score", "mass_key")
-    psms = psms.join(tailor(once, ["spectrum_idx"]).select("spectrum_idx", "tailor"), "spectrum_idx").withColumn("tailor_score", F.col("score") / F.col("tailor"))
-    delta = delta_score(once).groupBy("spectrum_idx").agg(F.max("delta").alias("delta_score"))
-    null = null_stats(once, ["spectrum_idx"]).select("spectrum_idx", F.col("n").alias("null_n"), F.col("mean").alias("null_mean"), F.col("dev").alias("null_dev"))
-    psms = psms.join(delta, "spectrum_idx").join(null, "spectrum_idx")
+    psms = with_shared(psms, all_scored)
     psms = listwise(psms, "spectrum_idx", "rank_score").withColumnsRenamed({"entropy": "rank_entropy", "gap": "score_gap"})
-    strong = F.col("intensity_signal") + F.col("surprise") + F.col("competition") - F.col("rank_entropy") + F.col("score_gap")
-    psms = leave_one_out(psms.withColumn("strong_score", strong), "spectrum_idx", "strong_score")
+    psms = leave_one_out(psms.withColumn("strong_score", fused()), "spectrum_idx", "strong_score")
     several = F.count("*").over(Window.partitionBy("spectrum_idx")) > 1
-    z = F.when(F.col("null_n") >= 100, (F.col("score") - F.col("null_mean")) / F.col("null_dev")).otherwise(0.0)
-    psms = psms.withColumn("strong_score_cal", F.when(several, F.col("loo")).otherwise(z)).drop("loo")
+    psms = psms.withColumn("strong_score_cal", F.when(several, F.col("loo")).otherwise(null_distance("score"))).drop("loo")
     if options.strong:
         psms = top_with_ties(psms.withColumn("score", F.col("strong_score")).withColumn("rank_score", F.col("strong_score")), ["spectrum_idx"], "rank_score", o.top_n)
+    if linked is not None:
+        psms = written(psms.withColumn("precursor_mz_override", F.lit(None).cast("double")), "primary")
+        psms = psms.unionByName(second_pass(psms, spectra, linked, cands, model, options, intensity_model))
     return with_output_rank(psms)
 
 
+def with_shared(psms: DataFrame, scored_: DataFrame) -> DataFrame:
+    """psms with the values that a spectrum's scored candidates give it: tailor, delta and null statistics."""
+    once = scored_.select("spectrum_idx", "charge", "score", "mass_key")
+    psms = psms.join(tailor(once, ["spectrum_idx"]).select("spectrum_idx", "tailor"), "spectrum_idx").withColumn("tailor_score", F.col("score") / F.col("tailor"))
+    delta = delta_score(once).groupBy("spectrum_idx").agg(F.max("delta").alias("delta_score"))
+    null = null_stats(once, ["spectrum_idx"]).select("spectrum_idx", F.col("n").alias("null_n"), F.col("mean").alias("null_mean"), F.col("dev").alias("null_dev"))
+    return psms.join(delta, "spectrum_idx").join(null, "spectrum_idx")
+
+
+def fused():
+    return F.col("intensity_signal") + F.col("surprise") + F.col("competition") - F.col("rank_entropy") + F.col("score_gap")
+
+
+def null_distance(score: str):
+    """Distance of a score from the null's mean in its deviations, 0 with fewer than 100 candidates."""
+    return F.when(F.col("null_n") >= 100, (F.col(score) - F.col("null_mean")) / F.col("null_dev")).otherwise(0.0)
+
+
+def second_pass(primary: DataFrame, spectra: DataFrame, linked: DataFrame, cands: DataFrame, model: Model, options: SearchOptions, intensity_model=None) -> DataFrame:
+    """Rows like primary's for the co-isolated precursors of linked spectra (with ms1_peaks), beyond the top n."""
+    o = options.match
+    found = written(coisolated(linked, o.tolerance, o.charges, options.isolation_half_width), "coisolated")
+    first = primary.groupBy("spectrum_idx").agg(F.max_by(F.struct("cand_idx", "residues"), F.struct("rank_score", (-F.col("cand_idx")).alias("c"))).alias("m")).select("spectrum_idx", "m.*")
+    out = primary.limit(0)
+    for some, got, best in rounds(spectra, found, written(first, "first"), cands, model, o, options.digest.enzyme):
+        best = best.join(cands.select("cand_idx", "pre", "post", "is_decoy", "protein_index", "neutral_mass"), "cand_idx").withColumn("candidate_idxs", F.array("cand_idx"))
+        rows = with_shared(with_features(written(best, "best"), some, model, intensity_model), got)
+        spread = listwise(got.select("spectrum_idx", "score"), "spectrum_idx", "score").groupBy("spectrum_idx").agg(F.max("entropy").alias("rank_entropy"), F.max("gap").alias("score_gap"))
+        rows = rows.join(spread, "spectrum_idx").withColumn("strong_score", fused()).withColumn("strong_score_cal", null_distance("strong_score"))
+        if options.strong:
+            rows = rows.withColumn("score", F.col("strong_score")).withColumn("rank_score", F.col("strong_score"))
+        out = out.unionByName(rows.select(*primary.columns))
+    return out
+
+
 def calibration(spectra: DataFrame, cands: DataFrame, model: Model, options: SearchOptions) -> tuple[float, float | None]:
     """(shift in ppm, tightened tolerance in ppm or None) learned from every tenth spectrum.
 
@@ -90,13 +128,13 @@ def calibration(spectra: DataFrame, cands: DataFrame, model: Model, options: Sea
     return float(row.median), float(row.tight)
 
 
-def calibrated_search(spectra: DataFrame, cands: DataFrame, model: Model, options: SearchOptions = SearchOptions(), intensity_model=None) -> DataFrame:
+def calibrated_search(spectra: DataFrame, cands: DataFrame, model: Model, options: SearchOptions = SearchOptions(), intensity_model=None, linked: DataFrame | None = None) -> DataFrame:
     """search() after the calibration it asks for."""
     shift, tight = calibration(spectra, cands, model, options)
     o = options.match
     if tight is not None:
         o = replace(o, shift_ppm=shift, tolerance=narrowed(o.tolerance, tight))
-    return search(spectra, cands, model, replace(options, match=o), intensity_model)
+    return search(spectra, cands, model, replace(options, match=o), intensity_model, linked)
 
 
 def accessions(psms: DataFrame, cands: DataFrame, proteins: DataFrame) -> DataFrame:
@@ -148,9 +186,28 @@ def pin_rows(psms: DataFrame, spectra: DataFrame, cands: DataFrame, proteins: Da
 
 
 def write_pin(rows: DataFrame, charges: tuple[int, int], path: str) -> None:
-    """The report as one text file in order, under its header."""
+    """The report as a folder of text parts whose names are in order; the first begins with the header.  joined_text makes one file of them."""
     head = rows.sparkSession.createDataFrame([(-1, 0, "\t".join(pin_header(charges)))], "spectrum_idx long, row_idx int, line string")
-    rows.select(F.col("spectrum_idx").cast("long"), F.col("row_idx").cast("int"), "line").unionByName(head).coalesce(1).sortWithinPartitions("spectrum_idx", "row_idx").select("line").write.text(path)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(F.col("spectrum_idx").cast("long"), F.col("row_idx").cast("int"), "line").unionByName(head)
+    rows.repartitionByRange(n, "spectrum_idx", "row_idx").sortWithinPartitions("spectrum_idx", "row_idx").select("line").write.text(path)
+
+
+def joined_text(spark, folder: str, path: str) -> None:
+    """One file of a folder's parts in the order of their names; the bytes stream through, none are held.  The folder goes."""
+    jvm = spark.sparkContext._jvm
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.hadoop
+    source, target = hadoop.fs.Path(folder), hadoop.fs.Path(path)
+    fs = source.getFileSystem(conf)
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        for part in sorted(s.getPath().toString() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")):
+            one = fs.open(hadoop.fs.Path(part))
+            hadoop.io.IOUtils.copyBytes(one, out, conf, False)
+            one.close()
+    finally:
+        out.close()
+    fs.delete(source, True)
 
 
 def tsv_rows(psms: DataFrame, spectra: DataFrame, cands: DataFrame, proteins: DataFrame, spec_file: str, mgf: bool, ppm: bool = True) -> DataFrame:
@@ -183,6 +240,22 @@ def trace(psms: DataFrame, spectra: DataFrame, scan: int) -> DataFrame:
     return row.select(F.to_json(F.struct(*[c for c in row.columns])).alias("json"))
 
 
+def trace_given(spectra: DataFrame, scan: int, peptide: str, model: Model, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """JSON of a given peptide (pre.SEQUENCE.post, with deltas) against one scan at each of its charges, whatever its mass."""
+    mass = F.create_map(*[F.lit(x) for r, m in RESIDUE_MASS.items() for x in (r, m)])
+    one = spectra.sparkSession.createDataFrame([(peptide,)], "text string").select(parse_peptide(F.col("text")).alias("p")).where("p is not null").select("p.*")
+    residue = lambda r: F.struct(r["residue"].alias("residue"), F.element_at(mass, r["residue"]).alias("mass"), r["mod_delta"].alias("mod_delta"), F.lit(False).alias("mod_fixed"))
+    one = one.withColumn("residues", F.transform("residues", residue)).withColumn("sequence", F.array_join(F.transform("residues", lambda r: r["residue"]), ""))
+    whole = F.aggregate("residues", F.lit(0.0), lambda a, r: a + (r["mass"] + F.coalesce(r["mod_delta"], F.lit(0.0))))
+    one = one.withColumn("residue_mass", whole).select(F.lit(-1).cast("long").alias("cand_idx"), "sequence", "residues", "pre", "post", (F.col("residue_mass") + H2O).alias("neutral_mass"), nominal(F.col("residue_mass")).alias("nominal_residue_mass"))
+    some = spectra.where(F.col("scan") == scan)
+    keys = with_charges(some, options.match.charges).select("spectrum_idx", F.col("charge").cast("int").alias("charge"), "precursor_mz").crossJoin(F.broadcast(one.select("cand_idx", F.col("neutral_mass").alias("_m"))))
+    observed = neutral_mass(F.col("precursor_mz"), F.col("charge"))
+    matches = keys.select("spectrum_idx", "charge", "cand_idx", F.lit(0).alias("isotope_offset"), (F.col("_m") - observed).alias("mass_error_da"), ((F.col("_m") - observed) / observed * 1e6).alias("mass_error_ppm"))
+    rows = with_features(written(scored(matches, some, one, model, options.digest.enzyme), "given"), some, model)
+    return rows.select(F.to_json(F.struct(*[c for c in rows.columns])).alias("json"))
+
+
 def yields(spectra: DataFrame, psms: DataFrame, min_peaks: int) -> DataFrame:
     """(spectra, skipped, with matches, matches)."""
     a = spectra.agg(F.count("*").alias("spectra"), F.count(F.when(F.size("peaks") < min_peaks, 1)).alias("skipped"))

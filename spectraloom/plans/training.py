@@ -11,7 +11,7 @@ from ..operators.fdr import best_per_spectrum, q_values
 from ..operators.match import precursor_matches
 from ..operators.model import Model
 from ..operators.score import scored
-from ..operators.store import Store, load_model, model_rows, source_rows
+from ..operators.store import Store, load_model, model_rows, rebuilt, source_rows
 from ..operators.train import EstimateOptions, accept, counted, estimate, flat_peptides, labelled
 from ..shared import written
 from .search import SearchOptions
@@ -63,3 +63,8 @@ def gated(store: Store, model_id: str, candidate: Model, rows: list[dict], spect
         store.put(model_id, model_rows(model_id, candidate) + rows)
         return True
     return False
+
+
+def update(store: Store, model_id: str, changed: list[dict], spectra: DataFrame | None = None, cands: DataFrame | None = None, options: SearchOptions = SearchOptions(), fdr: float = 0.01, force: bool = False, estimates: EstimateOptions = EstimateOptions()) -> bool:
+    """Estimate a model again from a changed ledger and put it into the store, with spectra only if it finds as many targets there (or force)."""
+    return gated(store, model_id, rebuilt(store, model_id, changed, estimates), changed, spectra, cands, options, fdr, force)

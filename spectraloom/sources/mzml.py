@@ -1,6 +1,8 @@
-"""mzML: each file a row of Spark's binary source, cut at <spectrum> elements and parsed one by one.
+"""mzML: Spark's text source cut at </spectrum>, so that parts of a large file are read by several tasks.
 
-A malformed element becomes a row with an error and the next one is read.
+A record holds one element, or more if an element does not end; each is parsed
+alone, and a malformed one becomes a row with an error.  seq rises with the
+place in a file; it is no count.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ ACTIVATION = {"MS:1000133": "CID", "MS:1000422": "HCD", "MS:1000598": "ETD", "MS
 ANALYZER = {"MS:1000264": "LowRes", "MS:1000082": "LowRes", "MS:1000083": "LowRes", "MS:1000291": "LowRes", "MS:1000484": "QExactive", "MS:1000079": "HighRes", "MS:1000084": "TOF"}
 MODEL = {"MS:1003378": "OrbitrapAstral", "MS:1001911": "QExactive", "MS:1002523": "QExactive", "MS:1002634": "QExactive", "MS:1002877": "QExactive", "MS:1002416": "QExactive"}
 
-SCHEMA = "spec_file string, seq long, title string, scan int, ms_level int, precursor_mz double, precursor_intensity float, precursor_charge int, rt_seconds double, activation string, isolation_lower double, isolation_upper double, peaks array<struct<mz:double,intensity:float>>, error string"
+SCHEMA = "spec_file string, seq long, title string, scan int, ms_level int, precursor_mz double, precursor_intensity float, precursor_charge int, rt_seconds double, activation string, isolation_lower double, isolation_upper double, peaks array<struct<mz:double,intensity:float>>, instrument_ref string, error string"
 _PEAK = pa.struct([("mz", pa.float64()), ("intensity", pa.float32())])
-_ARROW = pa.schema([("spec_file", pa.string()), ("seq", pa.int64()), ("title", pa.string()), ("scan", pa.int32()), ("ms_level", pa.int32()), ("precursor_mz", pa.float64()), ("precursor_intensity", pa.float32()), ("precursor_charge", pa.int32()), ("rt_seconds", pa.float64()), ("activation", pa.string()), ("isolation_lower", pa.float64()), ("isolation_upper", pa.float64()), ("peaks", pa.list_(_PEAK)), ("error", pa.string())])
-_element = re.compile(rb"<spectrum\s.*?(?:</spectrum>|(?=<spectrum\s)|\Z)", re.S)
+_ARROW = pa.schema([("spec_file", pa.string()), ("seq", pa.int64()), ("title", pa.string()), ("scan", pa.int32()), ("ms_level", pa.int32()), ("precursor_mz", pa.float64()), ("precursor_intensity", pa.float32()), ("precursor_charge", pa.int32()), ("rt_seconds", pa.float64()), ("activation", pa.string()), ("isolation_lower", pa.float64()), ("isolation_upper", pa.float64()), ("peaks", pa.list_(_PEAK)), ("instrument_ref", pa.string()), ("error", pa.string())])
+END = "</spectrum>"
+#: Rows handed on together.
+ROWS = 500
 
 
 def _number(text, kind=float):
@@ -53,7 +57,7 @@ def build_peaks(mz: np.ndarray, intensity: np.ndarray) -> list[dict]:
     return [{"mz": float(m), "intensity": float(i)} for m, i in zip(mz[order], intensity[order], strict=True)]
 
 
-def parse_spectrum(xml: bytes, levels: tuple[int, int] | None = None) -> dict | None:
+def parse_spectrum(xml: str, levels: tuple[int, int] | None = None) -> dict | None:
     """The fields of one <spectrum>; None if its level is outside `levels`."""
     root = ElementTree.fromstring(xml)
     params = lambda node: ((p.get("accession"), p.get("value"), p.get("unitAccession")) for p in node.findall("cvParam"))
@@ -67,6 +71,7 @@ def parse_spectrum(xml: bytes, levels: tuple[int, int] | None = None) -> dict |
         return None
     mono = None
     for node in root.iter("scan"):
+        out.setdefault("instrument_ref", node.get("instrumentConfigurationRef"))
         for acc, value, unit in params(node):
             if acc == SCAN_TIME and _number(value) is not None:
                 out["rt_seconds"] = _number(value) * (60 if unit == MINUTES else 1)
@@ -98,44 +103,49 @@ def parse_spectrum(xml: bytes, levels: tuple[int, int] | None = None) -> dict |
     return out
 
 
-def parse_file(content: bytes, levels: tuple[int, int] | None):
-    for seq, m in enumerate(_element.finditer(content)):
-        try:
-            if (row := parse_spectrum(m[0], levels)) is not None:
-                yield row | {"seq": seq}
-        except (ElementTree.ParseError, ValueError, zlib.error) as e:
-            yield {"seq": seq, "error": f"{type(e).__name__}: {e}"[:300]}
+def elements(text: DataFrame) -> DataFrame:
+    """(spec_file, seq, xml) of the <spectrum> elements in records (spec_file, value) that end at END."""
+    pieces = text.select("spec_file", F.posexplode(F.split("value", r"(?=<spectrum\s)")).alias("k", "xml"), F.size(F.split("value", r"(?=<spectrum\s)")).alias("n"))
+    pieces = pieces.where(F.col("xml").rlike(r"^<spectrum\s"))
+    return pieces.select("spec_file", F.monotonically_increasing_id().alias("seq"), F.when(F.col("k") == F.col("n") - 1, F.concat("xml", F.lit(END))).otherwise(F.col("xml")).alias("xml"))
 
 
-def read_mzml(spark: SparkSession, path: str, ms_levels: tuple[int, int] | None = None) -> DataFrame:
-    """All spectra of the levels with their place `seq` in the file, and errors for those that cannot be read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def parsed(found: DataFrame, levels: tuple[int, int] | None) -> DataFrame:
+    """SCHEMA of elements; those of other levels go."""
 
     def run(batches):
+        rows = []
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                for row in parse_file(content.as_py(), ms_levels):
-                    rows.append(row | {"spec_file": name})
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                        rows = []
-                if rows:
+            for i in range(batch.num_rows):
+                name, seq, xml = (batch.column(c)[i].as_py() for c in range(3))
+                try:
+                    row = parse_spectrum(xml, levels)
+                except (ElementTree.ParseError, ValueError, zlib.error) as e:
+                    row = {"error": f"{type(e).__name__}: {e}"[:300]}
+                if row is not None:
+                    rows.append(row | {"spec_file": name, "seq": seq})
+                if len(rows) == ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    return found.mapInArrow(run, SCHEMA)
+
 
-    return files.mapInArrow(run, SCHEMA)
+def read_mzml(spark: SparkSession, path: str, ms_levels: tuple[int, int] | None = None) -> DataFrame:
+    """All spectra of the levels, and errors for those that cannot be read.  Each use reads and parses the file."""
+    text = spark.read.option("lineSep", END).text(path)
+    return parsed(elements(text.select(F.col("_metadata.file_path").alias("spec_file"), "value")), ms_levels)
 
 
-def spectra_of(scans: DataFrame) -> DataFrame:
-    """Spectra with a usable precursor, numbered in file order."""
+def spectra_of(scans: DataFrame, *more: str) -> DataFrame:
+    """Spectra with a usable precursor (and the columns `more`), numbered in reading order; elements that are left out leave gaps."""
+    from ..operators.order import with_index
     from .mgf import SPECTRUM
 
     good = scans.where("error is null and precursor_mz is not null and not isnan(precursor_mz) and precursor_mz > 0 and precursor_mz < double('inf')")
-    # files in order of their names; a file's spectra in one task
-    before = good.groupBy("spec_file").agg(F.count("*").alias("n"))
-    before = before.select("spec_file", F.coalesce(F.sum("n").over(Window.orderBy("spec_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    row = F.row_number().over(Window.partitionBy("spec_file").orderBy("seq")) - 1
-    return good.withColumn("row", row).join(F.broadcast(before), "spec_file").withColumn("spectrum_idx", (F.col("base") + F.col("row")).cast("long")).select(*SPECTRUM)
+    return with_index(good, "spectrum_idx", ids="seq").select(*SPECTRUM, *more)
 
 
 def with_ms1(scans: DataFrame) -> DataFrame:
@@ -146,9 +156,10 @@ def with_ms1(scans: DataFrame) -> DataFrame:
 
 
 def with_ms1_peaks(scans: DataFrame) -> DataFrame:
-    """with_ms1 and the linked MS1 peaks."""
+    """MS2 rows with ms1_seq and the linked MS1 peaks.  Only places and levels are sorted by file."""
+    links = with_ms1(scans.select("spec_file", "seq", "ms_level")).drop("ms_level")
     ms1 = scans.where("ms_level = 1").select("spec_file", F.col("seq").alias("ms1_seq"), F.col("peaks").alias("ms1_peaks"))
-    return with_ms1(scans).join(ms1, ["spec_file", "ms1_seq"], "left")
+    return scans.where("ms_level = 2").join(links, ["spec_file", "seq"]).join(ms1, ["spec_file", "ms1_seq"], "left")
 
 
 def rejects(scans: DataFrame) -> DataFrame:
@@ -158,14 +169,21 @@ def rejects(scans: DataFrame) -> DataFrame:
 
 
 def detect_activation(scans: DataFrame, n: int = 64) -> str | None:
-    """The most frequent activation of the first n MS2 spectra; ties in the order CID, ETD, HCD, PQD, UVPD."""
+    """The most frequent activation of the first n MS2 spectra in reading order; ties in the order CID, ETD, HCD, PQD, UVPD."""
     from ..functions.names import ACTIVATIONS
 
-    some = scans.where("ms_level = 2 and activation is not null").orderBy("spec_file", "seq").limit(n)
-    got = {r.activation: r["count"] for r in some.groupBy("activation").count().collect()}
+    got = Counter(r.activation for r in scans.where("ms_level = 2").select("activation").limit(n).collect() if r.activation)
     return max(got, key=lambda a: (got[a], -ACTIVATIONS.index(a))) if got else None
 
 
+def detect(spark: SparkSession, path: str, n: int = 64) -> tuple[str | None, str | None]:
+    """(activation, instrument) of a file by its head and its first n MS2 spectra; only its first parts are read."""
+    head = spark.read.option("lineSep", "<spectrum ").text(path).limit(1).collect()
+    scans = read_mzml(spark, path, (2, 2))
+    refs = [r.instrument_ref for r in scans.select("instrument_ref").limit(n).collect()]
+    return detect_activation(scans, n), detect_instrument(head[0].value, refs) if head else None
+
+
 def detect_instrument(header: str, config_refs: list[str | None]) -> str | None:
     """Instrument of a file from its text before the spectra and the configurations its first MS2 spectra name.
 

@@ -44,23 +44,15 @@ def landing_search(spark: SparkSession, folder: str, run: Callable[[DataFrame],
 
     `run` maps spectra to matches; a batch that is tried again writes its own folder again.
     """
-    from ..sources.mzml import SCHEMA, parse_file, spectra_of
+    from pyspark.sql import functions as F
 
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.mzML").load(folder)
+    from ..shared import written
+    from ..sources.mzml import END, elements, parsed, spectra_of
 
-    def parse(batches):
-        import pyarrow as pa
-
-        from ..sources.mzml import _ARROW
-
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [r | {"spec_file": name} for r in parse_file(content, (2, 2))]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+    text = spark.readStream.option("lineSep", END).option("pathGlobFilter", "*.mzML").text(folder)
 
     def each(batch: DataFrame, n: int) -> None:
-        scans = batch.select("path", "content").mapInArrow(parse, SCHEMA)
+        scans = written(parsed(elements(batch), (2, 2)), "scans")
         run(spectra_of(scans)).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    return text.select(F.col("_metadata.file_path").alias("spec_file"), "value").writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()

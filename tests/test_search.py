@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -261,6 +262,42 @@ def test_second_pass(spark):
     assert [r.sequence for r in out.collect()] == ["SLHTLFGDELCK"]
 
 
+def test_chimeric_search_from_mzml(spark, tmp_path):
+    """A scan of two peptides whose precursors share an isolation window, from the file to the report."""
+    from spectraloom.sources import read_linked
+    from tests.test_sources import array, put, scan
+
+    both, cands = S.build_candidates(proteins(spark, BSA))
+    rows = {r.sequence: r for r in cands.where("not is_decoy and sequence in ('LVNELTEFAK', 'SLHTLFGDELCK', 'YLYEIAR')").collect()}
+    mass = lambda r: np.array([x.mass + (x.mod_delta or 0) for x in r.residues])
+    a, b = rows["LVNELTEFAK"], rows["SLHTLFGDELCK"]
+    ions = [by_ions(mass(r), 1)[0] for r in (a, b)]
+    mz = (a.neutral_mass + 2 * PROTON) / 2
+    # the second precursor is put beside the first: its m/z is what the MS1 says, at the charge that gives its mass
+    co = (b.neutral_mass + 2 * PROTON) / 2
+    env = [1.0, 0.75, 0.32, 0.1]
+    ms1 = sorted([(mz + k * 1.00335483 / 2, 1000 * e) for k, e in enumerate(env)] + [(co + k * 1.00335483 / 2, 500 * e) for k, e in enumerate(env)])
+    ms2 = sorted([(float(x), 100.0) for x in ions[0]] + [(float(x), 50.0) for x in ions[1]])
+    split = lambda peaks: array([m for m, _ in peaks], "MS:1000514") + array([i for _, i in peaks], "MS:1000515")
+    wide = scan(1, 2, mz, split(ms2)).replace('value="0.8"', f'value="{abs(co - mz) + 3}"').replace('value="1.2"', f'value="{abs(co - mz) + 3}"')
+    path = put(tmp_path, "c.mzML", f"<mzML><run><spectrumList>{scan(0, 1, None, split(ms1))}{wide}</spectrumList></run></mzML>")
+    linked = read_linked(spark, path).cache()
+    spectra = linked.drop("ms1_peaks")
+    plain = S.search(spectra, cands, model.starter_model())
+    got = S.search(spectra, cands, model.starter_model(), linked=linked).cache()
+    extra = got.where("precursor_mz_override is not null").collect()
+    assert [(r.sequence, r.charge, round(r.precursor_mz_override, 4)) for r in extra] == [("SLHTLFGDELCK", 2, round(co, 4))]
+    assert got.count() == plain.count() + 1 and extra[0].num_matched > 10 and extra[0].tailor == 1.0
+    lines = [r.line.split("\t") for r in S.pin_rows(got, spectra, cands, both).collect()]
+    at = {n: i for i, n in enumerate(S.pin_header((2, 5)))}
+    line, = [x for x in lines if "SLHTLFGDELC" in x[at["Peptide"]]]
+    assert float(line[at["ExpMass"]]) == pytest.approx(co * 2 - 2 * PROTON, rel=1e-5) and abs(float(line[at["dm"]])) < 1e-3
+    assert S.tsv_rows(got, spectra, cands, both, "c.mzML", False).where(F.col("Precursor") == f"{co:.4f}").count() == 1
+    given = S.trace_given(spectra, 2, f"{b.pre}.SLHTLFGDELC+57.02146K.{b.post}", model.starter_model()).collect()
+    assert len(given) == 1 and json.loads(given[0].json)["num_matched"] > 10
+    assert S.trace_given(spectra, 2, "no peptide", model.starter_model()).count() == 0
+
+
 def test_intensity(spark, tmp_path):
     rows = [("b", "A", "K", 3, 2, "unknown", 40, 4.0, 0.8), ("b", "A", "K", 3, 2, "unknown", 10, 1.0, 0.2), ("b", "*", "*", 3, 2, "unknown", 90, 18.0, 4.0), ("y", "A", "K", 3, 2, "unknown", 0, 0.0, 0.0)]
     p = spark.createDataFrame(rows, "ion_type string, flank_n string, flank_c string, pos_bin int, charge int, nce_bin string, count long, sum_log_rel double, sum_log_rel_sq double")
@@ -316,3 +353,45 @@ def test_stream_carries_the_last_ms1(spark, tmp_path):
     finally:
         q.stop()
     assert got == {("a", 1): 0, ("b", 0): None, ("a", 2): 0, ("a", 4): 3, ("b", 2): 1}
+
+
+def test_all_scores_are_those_of_one(spark):
+    """Scoring many peptides in one call gives what each gives alone, with edges and at every charge."""
+    from dataclasses import replace
+
+    rng = np.random.default_rng(7)
+    res = np.array([57.02146, 71.03711, 87.03203, 128.09496, 147.06841, 186.07931])
+    peptides = [rng.choice(res, n) for n in (1, 2, 7, 12, 30, 5, 9)] + [np.array([])]
+    off = np.concatenate([[0], np.cumsum([len(p) for p in peptides])])
+    for m in (model.starter_model(), model.tiny_model(True), replace(model.starter_model(), error_scale=0)):
+        for z in (0, 1, 2, 3, 4):
+            mz = np.sort(np.concatenate([rng.uniform(60, 1500, 80), *(by_ions(p, 1)[0] for p in peptides[3:5])]))
+            s = ScoredSpectrum(mz, rng.uniform(1, 100, len(mz)), 700.0, z, m)
+            raw, edge = s.scores(np.concatenate(peptides), off)
+            assert raw.tolist() == [s.raw_score(p) for p in peptides] and edge.tolist() == [s.edge_score(p) for p in peptides]
+
+
+def test_q_values_over_ranges(spark):
+    """Any number of ranges gives the rates of one sorted scan; distinct, tied and NaN scores."""
+    rng = random.Random(5)
+    rows = [(float("nan") if rng.random() < 0.02 else round(rng.gauss(0, 1), rng.choice([1, 8])), rng.random() < 0.3) for _ in range(500)]
+    df = spark.createDataFrame(rows, "score double, d boolean")
+    value = lambda s: float("-inf") if s != s else s
+    seen, rate = [0, 0], {}
+    for s in sorted({value(s) for s, _ in rows}, reverse=True):
+        seen[1] += sum(d for x, d in rows if value(x) == s)
+        seen[0] += sum(not d for x, d in rows if value(x) == s)
+        rate[s] = seen[1] / max(seen[0], 1)
+    want = {s: min(1.0, *(r for t, r in rate.items() if t <= s)) for s in rate}
+    got = fdr.q_values(df, "score", "d")
+    assert all(r.q == pytest.approx(want[value(r.score)]) for r in got.collect()) and got.count() == len(rows)
+    assert fdr.q_values(df.limit(0), "score", "d").count() == 0
+    assert "SinglePartition" not in fdr.q_values(df, "score", "d")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_report_in_ordered_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, j, f"line {i} {j}") for i in range(50) for j in range(3)], "spectrum_idx long, row_idx int, line string").repartition(7)
+    S.write_pin(rows, (2, 3), f"file://{tmp_path}/parts")
+    S.joined_text(spark, f"file://{tmp_path}/parts", f"file://{tmp_path}/out.pin")
+    lines = (tmp_path / "out.pin").read_text().splitlines()
+    assert lines[0].startswith("SpecId\t") and lines[1:] == [f"line {i} {j}" for i in range(50) for j in range(3)] and not (tmp_path / "parts").exists()

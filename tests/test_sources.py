@@ -4,9 +4,9 @@ import zlib
 
 import pytest
 
-from spectraloom.sources import read_fasta, read_mgf, read_mzml, read_spectra, spectrum_format
+from spectraloom.sources import read_fasta, read_linked, read_mgf, read_mzml, read_spectra, spectrum_format
 from spectraloom.sources.fasta import with_decoys
-from spectraloom.sources.mzml import detect_activation, detect_instrument, rejects, spectra_of, with_ms1, with_ms1_peaks
+from spectraloom.sources.mzml import detect, detect_activation, detect_instrument, rejects, spectra_of, with_ms1, with_ms1_peaks
 
 
 def put(tmp_path, name, content):
@@ -97,7 +97,7 @@ def test_mzml(spark, tmp_path):
     path = put(tmp_path, "a.mzML", f'<mzML><run><spectrumList count="6">{body}</spectrumList></run></mzML>')
     scans = read_mzml(spark, path)
     good = spectra_of(scans.where("ms_level = 2")).orderBy("spectrum_idx").collect()
-    assert [(r.spectrum_idx, r.scan, r.precursor_mz, r.precursor_charge, r.rt_seconds, r.activation) for r in good] == [(0, 2, 500.5, 2, 90.0, "HCD"), (1, 6, 700.5, 2, 90.0, "ETD")]
+    assert [(r.scan, r.precursor_mz, r.precursor_charge, r.rt_seconds, r.activation) for r in good] == [(2, 500.5, 2, 90.0, "HCD"), (6, 700.5, 2, 90.0, "ETD")]
     assert [(p.mz, p.intensity) for p in good[0].peaks] == [(100.0, 1.0), (300.0, 3.0)]
     assert (good[0].isolation_lower, good[0].isolation_upper) == (0.8, 1.2)
     bad = rejects(scans).first()
@@ -107,6 +107,28 @@ def test_mzml(spark, tmp_path):
     assert all(r.ms1_peaks for r in with_ms1_peaks(scans).collect())
     assert detect_activation(scans) == "ETD"  # a tie: in the order CID, ETD, HCD
     assert read_mzml(spark, path, (2, 2)).where("error is null").count() == 2
+    assert detect(spark, path) == ("ETD", None)
+
+
+def test_mzml_is_read_in_parts(spark, tmp_path):
+    """A file cut into many splits gives the rows of one, in order; an element that does not end is an error of its own."""
+    peaks = array([300.0, 100.0], "MS:1000514") + array([3.0, 1.0], "MS:1000515")
+    body = "".join(scan(i, 1 + i % 3 // 1 % 2, 400.5 + i, peaks) if i != 20 else '<spectrum index="20" id="scan=21"><cvParam accession="MS:1000511" value="2"/>\n' for i in range(60))
+    head = '<instrumentConfigurationList><instrumentConfiguration id="IC1"><cvParam accession="MS:1000484"/></instrumentConfiguration></instrumentConfigurationList>'
+    path = put(tmp_path, "big.mzML", f'<mzML>{head}<run defaultInstrumentConfigurationRef="IC1"><spectrumList count="60">{body}</spectrumList></run><indexList/></mzML>')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        scans = read_mzml(spark, path)
+        assert scans.rdd.getNumPartitions() > 5
+        rows = scans.orderBy("seq").collect()
+        linked = {r.scan: r.precursor_mz for r in read_linked(spark, path).where("size(ms1_peaks) = 2").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.scan for r in rows if not r.error] == [i + 1 for i in range(60) if i != 20] and sum(r.error is not None for r in rows) == 1
+    assert set(linked) == {r.scan for r in rows if r.ms_level == 2} and detect(spark, path) == ("HCD", "QExactive")
+    two = read_spectra(spark, path, path).orderBy("spectrum_idx")
+    assert [r.scan for r in two.collect()] == 2 * [r.scan for r in rows if r.ms_level == 2] and two.select("spectrum_idx").distinct().count() == two.count()
 
 
 def test_instrument_and_formats(spark):
