@@ -62,6 +62,17 @@ def detect(mz: np.ndarray, intensity: np.ndarray, low: float, high: float, selec
     return out
 
 
+def envelopes(rows: DataFrame, tolerance: float) -> DataFrame:
+    """(id, kl, snr) of rows (id, ms1_peaks, mono, charge, mass): isotope_match of each."""
+
+    def run(batches):
+        for batch in batches:
+            got = [isotope_match(np.array([p["mz"] for p in r["ms1_peaks"]]), np.array([p["intensity"] for p in r["ms1_peaks"]]), r["mono"], r["charge"], r["mass"], tolerance) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in got], pa.float64()), pa.array([s for _, s in got], pa.float64())], names=["id", "kl", "snr"])
+
+    return rows.select(F.col("id").cast("long").alias("id"), "ms1_peaks", "mono", "charge", "mass").mapInArrow(run, "id long, kl double, snr double")
+
+
 FOUND = "spectrum_idx long, nth int, co_mz double, co_charge int, co_mass double"
 
 

@@ -22,6 +22,41 @@ def _masses(residues: list[dict]) -> np.ndarray:
     return np.array([r["mass"] + (r["mod_delta"] or 0.0) for r in residues])
 
 
+def prepared(spectra: DataFrame, model: Model, charge: int = 2, window: tuple[float, int] | None = None) -> DataFrame:
+    """(spectrum_idx, rank, density, total_intensity, peak_chance): what scoring knows of each spectrum's peaks.
+
+    rank: place of each peak by intensity, 0 for one that the filters take; density: peaks per Da around it.
+    """
+    held = spectra.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            rows = [ScoredSpectrum(*_peaks(r), r["precursor_mz"], charge, held.value, window) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.rank.tolist() for s in rows], pa.list_(pa.int32())), pa.array([s.density(s.raw_mz).tolist() for s in rows], pa.list_(pa.float64())), pa.array([s.total_intensity for s in rows], pa.float64()), pa.array([s.peak_chance for s in rows], pa.float64())],
+                names=["spectrum_idx", "rank", "density", "total_intensity", "peak_chance"],
+            )
+
+    some = spectra.select(F.col("spectrum_idx").cast("long").alias("spectrum_idx"), "precursor_mz", "peaks")
+    return some.mapInArrow(run, "spectrum_idx long, rank array<int>, density array<double>, total_intensity double, peak_chance double")
+
+
+def strongest_peaks(spectra: DataFrame, model: Model, tolerance: float) -> DataFrame:
+    """(spectrum_idx, hits): of each m/z in `targets` the place of the strongest peak within tolerance Da, -1 for none."""
+    held = spectra.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            hits = []
+            for r in batch.to_pylist():
+                targets = np.array(r["targets"], float)
+                hits.append(ScoredSpectrum(*_peaks(r), r["precursor_mz"], 2, held.value).strongest(targets, np.full(len(targets), tolerance)).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], names=["spectrum_idx", "hits"])
+
+    some = spectra.select(F.col("spectrum_idx").cast("long").alias("spectrum_idx"), "precursor_mz", "peaks", "targets")
+    return some.mapInArrow(run, "spectrum_idx long, hits array<int>")
+
+
 def _per_spectrum(matches: DataFrame, spectra: DataFrame, model: Model, kinds: list[tuple[str, str]], fn) -> DataFrame:
     """(spectrum_idx, charge, cand_idx, kinds...) from fn(scored spectrum, match row)."""
     held = matches.sparkSession.sparkContext.broadcast(model)

@@ -7,7 +7,7 @@ embeddings are peak lists.  All run over whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chem, names, text
@@ -15,7 +15,10 @@ from ..functions.chem import ENZYMES, RESIDUE_MASS, PrecursorTolerance, Toleranc
 from ..functions.mods import VariantTable
 from ..operators import digest, fdr, intensity, match, topn, train
 from ..operators.digest import DigestOptions
+from ..operators.chimeric import envelopes
 from ..operators.match import MatchOptions
+from ..operators.model import tiny_model
+from ..operators.score import prepared, strongest_peaks
 from ..shared import written
 
 QUERIES: dict = {}
@@ -113,8 +116,8 @@ _MASS_SQL = " + ".join(f"{m!r}e0 * (length(s) - length(replace(s, '{r}', '')))"
 @query(f"select doc_id, round({_MASS_SQL} + {chem.H2O!r}e0, 3) as mass from (select doc_id, {SEQ} as s from documents)")
 def peptide_mass(spark, sf_dir):
     p = doc_proteins(spark, sf_dir)
-    counts = sum((F.lit(m) * (F.length("sequence") - F.length(F.replace(F.col("sequence"), F.lit(r), F.lit("")))) for r, m in RESIDUE_MASS.items()), F.lit(0.0))
-    return p.select(F.col("protein_index").alias("doc_id"), F.round(counts + chem.H2O, 3).alias("mass"))
+    return p.select(F.col("protein_index").alias("doc_id"), F.round(chem.sequence_mass(F.col("sequence")) + chem.H2O, 3).alias("mass"))
+
 
 
 @query("select o_orderkey, cast(round(cast(0.999497 as float) * cast(o_totalprice / 100 as float)) as integer) as nominal from orders")
@@ -138,16 +141,14 @@ def mod_variants(spark, sf_dir):
 _TOL = 20.0
 
 
-@query(f"""select o_orderkey, l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_extendedprice - o_totalprice) / o_totalprice * 1e6, 6) as ppm
+@query(f"""select o_orderkey, l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_extendedprice - o_totalprice) / o_totalprice * 1e6, 4) as ppm
   from orders join lineitem on abs(l_extendedprice - o_totalprice) <= o_totalprice * {_TOL} * 1e-6""")
 def precursor_range_join(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    width = F.col("o_totalprice") * _TOL * 1e-6
-    o = o.withColumn("bucket", F.explode(F.sequence(chem.nominal(F.col("o_totalprice") - width) - 1, chem.nominal(F.col("o_totalprice") + width) + 1)))
-    li = li.withColumn("bucket", chem.nominal(F.col("l_extendedprice")))
-    error = F.col("l_extendedprice") - F.col("o_totalprice")
-    return o.join(li, "bucket").where(F.abs(error) <= width).select("o_orderkey", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(error / F.col("o_totalprice") * 1e6, 6).alias("ppm"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("spectrum_idx"), (F.col("o_totalprice") + chem.PROTON).alias("precursor_mz"), F.lit(1).alias("precursor_charge"), F.array(F.lit(0)).alias("peaks"))
+    li = table(spark, sf_dir, "lineitem")
+    c = li.select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("cand_idx"), F.col("l_extendedprice").alias("neutral_mass"), chem.nominal(F.col("l_extendedprice") - chem.H2O).alias("nominal_residue_mass"))
+    out = match.precursor_matches(o, c, MatchOptions(tolerance=PrecursorTolerance(Tolerance(_TOL), Tolerance(_TOL)), isotopes=(0, 0), min_peaks=1))
+    return out.select(F.col("spectrum_idx").alias("o_orderkey"), "cand_idx.*", F.round("mass_error_ppm", 4).alias("ppm"))
 
 
 _ISO = repr(chem.ISOTOPE)
@@ -187,14 +188,12 @@ def topn_per_charge_merge(spark, sf_dir):
     return topn.top_with_ties(first, ["spectrum_idx"], "score", 3).select("spectrum_idx", "charge", "cand", "supp", "score")
 
 
-@query(f"""select spectrum_idx, supp, cast(round(score) as bigint) as score_round, count(*) as n, string_agg(distinct cand, ',' order by cand) as cands, max(score) as score
+@query(f"""select spectrum_idx, supp, cast(round(score) as bigint) as score_round, string_agg(distinct cand, ',' order by cand) as cands, max(score) as score
   from ({_PSM}) group by spectrum_idx, supp, cast(round(score) as bigint)""")
 def dedup_peptide_score(spark, sf_dir):
     df = psms(spark, sf_dir).select("spectrum_idx", F.lit(0).alias("charge"), F.col("supp").cast("string").alias("sequence"), F.col("cand").alias("cand_idx"), F.col("score").alias("rank_score"), F.array().cast("array<struct<mod_delta:double>>").alias("residues"))
-    df = df.withColumn("score_round", F.round("rank_score").cast("long"))
-    n = df.groupBy("spectrum_idx", "sequence", "score_round").count()
-    out = topn.dedup(df.drop("score_round")).withColumn("score_round", F.round("rank_score").cast("long")).join(n, ["spectrum_idx", "sequence", "score_round"])
-    return out.select("spectrum_idx", F.col("sequence").cast("long").alias("supp"), "score_round", F.col("count").alias("n"), F.array_join(F.transform("candidate_idxs", lambda x: x.cast("string")), ",").alias("cands"), F.col("rank_score").alias("score"))
+    out = topn.dedup(df).withColumn("score_round", F.round("rank_score").cast("long"))
+    return out.select("spectrum_idx", F.col("sequence").cast("long").alias("supp"), "score_round", F.array_join(F.transform("candidate_idxs", lambda x: x.cast("string")), ",").alias("cands"), F.col("rank_score").alias("score"))
 
 
 @query(f"""with b as (select spectrum_idx, cand, max(score) as s from ({_PSM}) group by all), l as (select spectrum_idx, list(s order by s desc) as v from b group by 1)
@@ -275,37 +274,51 @@ def ms1_link(spark, sf_dir):
 _PEAKS = "select vec_id, i, 100 + 10.0 * i as mz, abs(embedding[i + 1]) as inten from embeddings, unnest(range(0, len(embedding))) as t(i)"
 
 
-def peak_rows(spark, sf_dir):
+def peak_lists(spark, sf_dir):
+    """Embeddings as spectra."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), (100 + 10.0 * F.col("i")).alias("mz"), F.abs("x").alias("inten"))
+    peaks = F.transform("embedding", lambda x, i: F.struct((100 + 10.0 * i).alias("mz"), F.abs(x).cast("float").alias("intensity")))
+    return e.select(F.col("vec_id").alias("spectrum_idx"), F.lit(600.0).alias("precursor_mz"), peaks.alias("peaks"), "label")
+
+
+def _per_peak(df, *columns):
+    out = df.select(F.col("spectrum_idx").alias("vec_id"), F.posexplode(F.arrays_zip(*columns)).alias("i", "p"))
+    return out.select("vec_id", F.col("i").cast("long").alias("i"), *[f"p.{c}" for c in columns])
 
 
-@query(f"select vec_id, i, row_number() over (partition by vec_id order by inten desc, mz) as rank from ({_PEAKS})")
+@query(f"select vec_id, i, cast(row_number() over (partition by vec_id order by inten desc, mz) as integer) as rank from ({_PEAKS})")
 def peak_rank(spark, sf_dir):
-    w = Window.partitionBy("vec_id").orderBy(F.desc("inten"), "mz")
-    return peak_rows(spark, sf_dir).select("vec_id", "i", F.row_number().over(w).alias("rank"))
+    return _per_peak(prepared(peak_lists(spark, sf_dir), tiny_model()), "rank")
 
 
-@query(f"select vec_id, i, inten from (select *, row_number() over (partition by vec_id, floor(mz / 100) order by inten desc, mz) as n from ({_PEAKS})) where n <= 3")
+@query(f"""select vec_id, i, cast(row_number() over (partition by vec_id order by inten desc, mz) as integer) as rank
+  from (select *, row_number() over (partition by vec_id, floor(mz / 100) order by inten desc, mz) as n from ({_PEAKS})) where n <= 3""")
 def windowed_topk_peaks(spark, sf_dir):
-    w = Window.partitionBy("vec_id", F.floor(F.col("mz") / 100)).orderBy(F.desc("inten"), "mz")
-    return peak_rows(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n <= 3").select("vec_id", "i", "inten")
+    return _per_peak(prepared(peak_lists(spark, sf_dir), tiny_model(), window=(100.0, 3)), "rank").where("rank > 0")
 
 
 @query(f"select vec_id, i, count(*) over (partition by vec_id order by mz range between 50 preceding and 50 following) / 100.0 as density from ({_PEAKS})")
 def local_density(spark, sf_dir):
-    w = Window.partitionBy("vec_id").orderBy("mz").rangeBetween(-50, 50)
-    return peak_rows(spark, sf_dir).select("vec_id", "i", (F.count("*").over(w) / 100.0).alias("density"))
+    return _per_peak(prepared(peak_lists(spark, sf_dir), tiny_model()), "density")
+
+
+# peaks within 5 Da of what is left of the charge-1 precursor go; the width of a chance bin is twice the model's tolerance
+@query(f"""with k as (select * from ({_PEAKS}) where abs(mz - 598.99272351) > 5)
+  select vec_id, round(sum(cast(inten as double)), 4) as total_intensity, round(count(*) / (1197.98544702 / 40), 5) as peak_chance from k group by vec_id""")
+def peak_statistics(spark, sf_dir):
+    from dataclasses import replace
+
+    model = replace(tiny_model(), precursor_offsets={2: [(1, -600.0, Tolerance(5.0, "Da"), 1.0)]})
+    out = prepared(peak_lists(spark, sf_dir), model)
+    return out.select(F.col("spectrum_idx").alias("vec_id"), F.round("total_intensity", 4).alias("total_intensity"), F.round("peak_chance", 5).alias("peak_chance"))
 
 
 @query(f"""with t as (select vec_id, label, 100 + 37.0 * label + 55.0 as target from embeddings)
-  select t.vec_id, arg_max(p.i, struct_pack(a := p.inten, b := -p.mz)) as i, max(p.inten) as inten from t join ({_PEAKS}) p on t.vec_id = p.vec_id and abs(p.mz - target) <= 30 group by t.vec_id""")
+  select t.vec_id, arg_max(p.i, struct_pack(a := p.inten, b := -p.mz)) as i from t join ({_PEAKS}) p on t.vec_id = p.vec_id and abs(p.mz - target) <= 30 group by t.vec_id""")
 def base_peak_match(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    target = 100 + 37.0 * F.col("label") + 55.0
-    peaks = F.transform("embedding", lambda x, i: F.struct(F.abs(x).alias("inten"), (-(100 + 10.0 * i)).alias("nmz"), i.cast("long").alias("i")))
-    near = F.filter(peaks, lambda p: F.abs(-p["nmz"] - target) <= 30)
-    return e.select("vec_id", F.array_max(near).alias("p")).where("p is not null").select("vec_id", "p.i", "p.inten")
+    e = peak_lists(spark, sf_dir).withColumn("targets", F.array(100 + 37.0 * F.col("label") + 55.0))
+    out = strongest_peaks(e, tiny_model(), 30.0).select(F.col("spectrum_idx").alias("vec_id"), F.col("hits")[0].cast("long").alias("i"))
+    return out.where("i >= 0")
 
 
 @query("""with f as (select vec_id, i, embedding[i + 1] > 0 as up from embeddings, unnest(range(0, len(embedding))) as t(i)),
@@ -330,9 +343,14 @@ def cosine_similarity(spark, sf_dir):
   n as (select p_partkey, list_transform(v, lambda x: x / list_sum(v)) as t from p) select p_partkey, round(t[1], 9) as t0, round(t[2], 9) as t1, round(t[3], 9) as t2, round(t[4], 9) as t3,
   round(list_sum(list_transform(t, lambda x: 0.25 * ln(0.25 / greatest(x, 1e-9)))), 8) as kl from n""")
 def poisson_envelope_kl(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", chem.averagine(F.col("p_retailprice"), 4).alias("t"))
-    kl = F.aggregate("t", F.lit(0.0), lambda a, x: a + 0.25 * F.ln(0.25 / F.greatest(x, F.lit(1e-9))))
-    return part.select("p_partkey", *[F.round(F.col("t")[i], 9).alias(f"t{i}") for i in range(4)], F.round(kl, 8).alias("kl"))
+    part = table(spark, sf_dir, "part")
+    t = part.select("p_partkey", chem.averagine(F.col("p_retailprice"), 4).alias("t"))
+    # four equal peaks where the isotopes of charge 2 stand
+    peaks = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct((500 + k * (chem.ISOTOPE / 2)).alias("mz"), F.lit(1.0).alias("intensity")))
+    kl = envelopes(part.select(F.col("p_partkey").alias("id"), peaks.alias("ms1_peaks"), F.lit(500.0).alias("mono"), F.lit(2).alias("charge"), F.col("p_retailprice").alias("mass")), 0.01)
+    out = t.join(kl.withColumnRenamed("id", "p_partkey"), "p_partkey")
+    return out.select("p_partkey", *[F.round(F.col("t")[i], 9).alias(f"t{i}") for i in range(4)], F.round("kl", 8).alias("kl"))
+
 
 
 _COUNTS = "select l_returnflag as flag, l_linestatus as status, l_linenumber as line, cast(round(l_discount * 100) as integer) as bin, l_suppkey % 3 as source from lineitem"
@@ -412,24 +430,26 @@ def model_selection_ladder(spark, sf_dir):
     return spark.createDataFrame([(select_model(store, "HCD", "Brand#2", "Trypsin", {"small", "ring"}, None, "generic"),)], "model_id string")
 
 
-@query("""with m as (select p_partkey, p_retailprice / 10 as mass from part), c as (select unnest(['phospho', 'tmt', 'itraq', 'acetyl', 'ubiquitin']) as name, unnest([79.96633, 229.1629, 144.1021, 42.0106, 114.0429]) as sig)
-  select p_partkey, coalesce(string_agg(name, '+' order by name), 'standard') as class from m left join c on abs(mass - sig) <= 5 group by p_partkey""")
+@query("""with m as (select p_partkey, p_retailprice / 10 as mass, substr('KSGT', cast(p_partkey % 4 as integer) + 1, 1) as r from part),
+  c as (select unnest(['phospho', 'tmt', 'itraq', 'itraq', 'acetyl', 'ubiquitin']) as name, unnest([79.96633, 229.1629, 144.1021, 304.2054, 42.0106, 114.0429]) as sig, unnest(['STY', 'K', 'K', 'K', 'K', 'K']) as sites)
+  select p_partkey, coalesce(string_agg(distinct name, '+' order by name), 'standard') as class from m left join c on abs(mass - sig) <= 5 and contains(sites, r) group by p_partkey""")
 def class_inference(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 10).alias("mass"))
-    marks = [(name, mass) for name, _, rows in names.CLASSES for mass, _ in rows if mass != 304.2054]
-    hits = F.array_compact(F.array(*[F.when(F.abs(F.col("mass") - m) <= 5, n) for n, m in marks]))
-    return part.select("p_partkey", names.canonical_class(F.array_join(hits, "+")).alias("class"))
+    mod = F.struct((F.col("p_retailprice") / 10).alias("mass"), F.substring(F.lit("KSGT"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)).alias("residue"))
+    return table(spark, sf_dir, "part").select("p_partkey", names.inferred_class(F.array(mod), 5.0).alias("class"))
 
 
 @query("""select l_orderkey, string_agg(s, '|' order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as proteins from (
   select l.*, coalesce(s_name, 'PROT_' || l_suppkey) as s from lineitem l left join (select * from supplier where s_suppkey % 7 <> 0) on s_suppkey = l_suppkey) group by l_orderkey""")
 def protein_multi_map(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    name = F.coalesce("s_name", F.concat(F.lit("PROT_"), F.col("l_suppkey").cast("string")))
-    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", name.alias("name"))
-    out = li.join(s, "l_suppkey", "left").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("r"))
-    return out.select("l_orderkey", F.array_join(F.transform("r", lambda x: x["name"]), "|").alias("proteins"))
+    from .search import accessions
+
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    psms = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("spectrum_idx")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    psms = psms.select("spectrum_idx", F.lit(2).alias("charge"), F.lit(0).cast("long").alias("cand_idx"), F.transform("r", lambda x: x["l_suppkey"]).alias("candidate_idxs"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("protein_index"), F.col("s_name").alias("accession"))
+    cands = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cand_idx")).distinct().withColumn("protein_index", F.col("cand_idx"))
+    return accessions(psms, cands, s.where("protein_index % 7 <> 0")).select(F.col("spectrum_idx").alias("l_orderkey"), F.array_join("proteins", "|").alias("proteins"))
+
 
 
 @query("""with p as (select l_orderkey, bool_and(l_returnflag = 'A') as ent from lineitem group by 1)
@@ -440,11 +460,10 @@ def entrapment_fdp(spark, sf_dir):
     return fdr.entrapment(p)
 
 
-# no statement: printf rounds halves of the binary value, the expression those of the shortest decimal
-@query(None)
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_discount = 0 then '0' else printf('%.6g', l_extendedprice * l_discount / 1e4) end as shown from lineitem")
 def report_numbers(spark, sf_dir):
     o = table(spark, sf_dir, "lineitem")
-    return o.select("l_orderkey", "l_linenumber", "l_partkey", text.report_number(F.col("l_extendedprice") * F.col("l_discount") / 1e4).alias("shown"))
+    return o.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.report_number(F.col("l_extendedprice") * F.col("l_discount") / 1e4).alias("shown"))
 
 
 @query("""with p as (select p_partkey, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) as s from part)
@@ -468,3 +487,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def search_candidates(spark, sf_dir):
     return flagship(spark, sf_dir)
+
+
+from . import queries  # noqa: E402, F401  registers more of them
