@@ -2,51 +2,33 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _rounded(x: Column, scale: float) -> Column:
-    """x * scale as a whole number, halves of the binary value to even.
 
-    The product of x and 2 * scale is taken as a sum of two doubles (both split
-    into halves of 26 bits), whose second part tells on which side of a half x lies.
-    """
-    k = 2.0 * scale
-    split = 134217729.0
-    big = split * k
-    k_hi = big - (big - k)
-    k_lo = k - k_hi
-    p, c = x * k, x * split
-    hi = c - (c - x)
-    lo = x - hi
-    rest = ((hi * k_hi - p) + hi * k_lo + lo * k_hi) + lo * k_lo
-    below = F.floor(p / 2)
-    half = F.pmod(p, F.lit(2.0)) == 1
-    return F.when(half, below + F.when(rest > 0, 1).when(rest < 0, 0).otherwise(F.pmod(below, F.lit(2)))).otherwise(F.floor(p / 2 + 0.5)).cast("long")
+def _shown(x: float) -> str:
+    size = abs(x)
+    if x != x or size in (0.0, float("inf")):
+        return "0"
+    if not 1e-4 <= size < 1e6:
+        digits, _, exponent = f"{x:.5e}".partition("e")
+        return f"{digits.rstrip('0').rstrip('.')}e{exponent}"
+    out = f"{x:.{max(5 - math.floor(math.log10(size)), 0)}f}"
+    return out.rstrip("0").rstrip(".") if "." in out else out
 
 
-def report_number(value: Column) -> Column:
-    """Six significant digits without trailing zeros; 0 for NaN and infinities; an exponent outside [1e-4, 1e6).
+@F.pandas_udf(T.StringType())
+def report_number(value: pd.Series) -> pd.Series:
+    """Six significant digits without trailing zeros; 0 for null, NaN and infinities; an exponent outside [1e-4, 1e6).
 
-    Halves of the binary value go to even.  With an exponent, halves of the shortest decimal form go up.
+    Halves are those of the binary value, which the JVM's formats do not see: they round its shortest decimal form.
     """
-    size = F.abs(value)
-    magnitude = F.floor(F.log10(size)).cast("int")
-    # log10 of a number just below a power of ten may round up to it
-    magnitude = F.when(size < F.pow(F.lit(10.0), magnitude), magnitude - 1).otherwise(magnitude)
-    digits = F.greatest(F.lit(5) - magnitude, F.lit(0))
-    fixed = F.lit(None).cast("string")
-    for d in range(10):
-        whole = _rounded(size, 10.0**d)
-        text = whole.cast("string") if not d else F.concat(F.floor(whole / 10**d).cast("string"), F.lit("."), F.lpad(F.pmod(whole, F.lit(10**d)).cast("string"), d, "0"))
-        fixed = F.when(digits == d, text).otherwise(fixed)
-    fixed = F.when(fixed.contains("."), F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")).otherwise(fixed)
-    fixed = F.concat(F.when(value < 0, "-").otherwise(""), fixed)
-    sci = F.format_string("%.5e", value)
-    sci = F.concat(F.regexp_replace(F.regexp_replace(F.substring_index(sci, "e", 1), "0+$", ""), r"\.$", ""), F.lit("e"), F.substring_index(sci, "e", -1))
-    none = value.isNull() | F.isnan(value) | (size == float("inf")) | (value == 0)
-    return F.when(none, "0").when((size >= 1e-4) & (size < 999999.5), fixed).otherwise(sci)
+    return pd.Series([_shown(x) for x in value.astype(float).tolist()], dtype=object)
 
 
 def peptide_text(pre: Column, residues: Column, post: Column) -> Column:

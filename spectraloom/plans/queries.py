@@ -132,7 +132,7 @@ def candidate_masses(spark, sf_dir):
 # scalar functions
 
 
-@query(f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(m * 20.0 * 1e-6, 8) as width, round((m - (m + 1)) / (m + 1) * 1e6, 6) as residual, round(m * (1 - 3.5 * 1e-6), 6) as shifted,
+@query(f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(m * 20.0 * 1e-6, 8) as width, round((m - (m + 1)) / (m + 1) * 1e6, 6) as residual, round(m * (1 - 3.14159265e0 * 1e-6), 6) as shifted,
   round(m * z - z * {PROTON!r}e0, 6) as neutral, round(node / 0.9994969964027405e0 / z + 1.5, 6) as ion, round((m - 1.5) * z, 6) as node_mass, cast(least(greatest(trunc(m / 50000 * 3), 0), 2) as integer) as segment,
   cast(least(greatest(round(10.0 * l_quantity / 50), 0), 10) as integer) as bin, round(case when 1000 < m - 200 then m - 200 - 1000 when 1000 > m + 300 then 1000 - (m + 300) else 0 end, 6) as outside
   from (select *, l_extendedprice as m, l_linenumber % 4 + 1 as z, cast(round(cast(0.999497 as float) * cast(l_extendedprice as float)) as integer) as node from lineitem)""")
@@ -140,7 +140,7 @@ def precursor_scalars(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumns({"m": F.col("l_extendedprice"), "z": F.col("l_linenumber") % 4 + 1})
     m, z = F.col("m"), F.col("z")
     made = {
-        "width": F.round(Tolerance(20.0).as_da(m), 8), "residual": F.round(chem.ppm_residual(m, m + 1), 6), "shifted": F.round(chem.calibrated(m, 3.5), 6), "neutral": F.round(chem.neutral_mass(m, z), 6),
+        "width": F.round(Tolerance(20.0).as_da(m), 8), "residual": F.round(chem.ppm_residual(m, m + 1), 6), "shifted": F.round(chem.calibrated(m, 3.14159265), 6), "neutral": F.round(chem.neutral_mass(m, z), 6),
         "ion": F.round(chem.ion_mz(chem.nominal(m), z, 1.5), 6), "node_mass": F.round(chem.ion_node_mass(m, z, 1.5), 6), "segment": chem.segment(m, F.lit(50000.0), 3),
         "bin": chem.position_bin(F.col("l_quantity"), F.lit(50)), "outside": F.round(match.in_isolation_window(m, F.lit(200.0), F.lit(300.0), F.lit(1000.0)), 6),
     }
