@@ -73,10 +73,45 @@ def flat_streams(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 
 def read_files(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK_TOKENS) -> DataFrame:
-    """Raw token files as streams (stream: the file's path), each cut into blocks after reading."""
-    files = spark.read.format("binaryFile").load(path)
-    cut = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("length") - 1) / block_bytes)).cast("int"))
-    return files.select(F.col("path").alias("stream"), F.posexplode(cut).alias("block", "_n"), "content").select("stream", F.col("block").cast("long"), F.substring("content", F.col("block") * block_bytes + 1, F.lit(block_bytes)).alias("data"))
+    """Raw token files as streams (stream: the file's path), read in ranges of block_bytes by the tasks.
+
+    Only names and lengths are listed.  Ranges are read through Arrow's file
+    systems (local, HDFS and the object stores it knows); a store that only
+    Spark reads is read file by file, and such a file must fit a row.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream"), "length")
+    cut = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes).cast("long")))
+    ranges = files.select("stream", "length", F.explode(cut).alias("block"))
+    first = files.first()
+    if first is None or _system(first.stream) is None:
+        whole = spark.read.format("binaryFile").load(path)
+        return whole.select(F.col("path").alias("stream"), F.explode(cut).alias("block"), "content").select("stream", "block", F.substring("content", (F.col("block") * block_bytes + 1).cast("int"), F.lit(block_bytes)).alias("data"))
+
+    def run(batches):
+        for batch in batches:
+            for name, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, place = _system(name)
+                with system.open_input_file(place) as f:
+                    f.seek(block * block_bytes)
+                    data = f.read(block_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["stream", "block", "data"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.select("stream", "block").repartition(n, "stream", "block").mapInArrow(run, "stream string, block long, data binary")
+
+
+def _system(uri: str):
+    """(Arrow file system, path in it) of a file's name, or None if Arrow does not know its kind."""
+    from urllib.parse import unquote
+
+    from pyarrow import fs
+
+    try:
+        if uri.startswith("file:"):
+            return fs.LocalFileSystem(), unquote("/" + uri.removeprefix("file:").lstrip("/"))
+        return fs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
 
 
 def separators(streams: DataFrame, end_id: int = END_ID, dtype: str = "<u2") -> DataFrame:

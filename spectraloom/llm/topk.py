@@ -10,15 +10,19 @@ processed, and at least its accumulator less the width of the segments.
 Processing stops once these bounds prove that no more than a small share of
 rows can be among the k best; all of those are scored exactly.
 
-Vectors stay where they were read.  Queries come in rounds of at most
-ROUND_VALUES numbers, which bounds what is broadcast; each task keeps its k
-best for each query, and the k best of all tasks meet by query.
+Vectors stay where they were read and are indexed once.  Queries come in
+rounds of at most ROUND_VALUES numbers, each a broadcast of its own, of which a
+task holds one; every block gives its k best for each query, and the k best of
+all blocks meet by query.
 
 Components become floor(256 * x) of x as double.  A vector that is null, or
 has a null or non-finite component, takes no part; nor does a null vec_id.
 Missing trailing components count as 0.  Rows with the query's vec_id are its
-own.  Other repeated rows are candidates of their own.  Ties go to the smaller
-vec_id.  A query without candidates has no rows.
+own.  Other repeated rows are candidates of their own.  Of several valid vectors
+under one query's vec_id the least, number by number, is the query.  Ties go to
+the smaller vec_id.  A query without candidates has no rows.  A score beyond the
+range of a long counts as the range's end.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cuts, table
 
 K, SCALE = 5, 256.0
 LEVELS, BLOCK_ROWS = 32, 1 << 16
 #: Segments added in one step.
 TOGETHER = 48
 ROUND_VALUES = 1 << 23
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def matrix(ids: pa.Array, vectors: pa.Array, scale: float = SCALE) -> tuple[np.ndarray, np.ndarray]:
@@ -134,56 +139,54 @@ class Block:
         rows = rows[self.ids[rows] != query_id]
         part = self.rows[rows]
         score = part.astype(object).dot(q.astype(object)) if big else part @ q
-        if big and any(abs(int(s)) >= 2**63 for s in score):
-            raise OverflowError("a score does not fit a long")
         ids = self.ids[rows]
-        at = np.lexsort((ids, -np.array(score, np.int64)))[:k]
-        return ids[at], np.array(score, np.int64)[at]
+        if big:
+            score = np.array([min(max(int(s), LEAST), MOST) for s in score], np.int64)
+        at = np.lexsort((ids, ~score))[:k]  # ~x falls as x rises, at both ends too
+        return ids[at], score[at]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = SCALE, round_values: int = ROUND_VALUES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of vectors for each row of queries."""
-    queries = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null").dropDuplicates(["id"])
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    queries = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null").where(~bad)
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     values = queries.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0))).first()[0]
     # halves a round again would leave room for uneven hashing
     rounds = max(1, -(-2 * values // round_values)) if values > round_values // 2 else 1
     vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     sc = vectors.sparkSession.sparkContext
-    schema = "query_id long, vec_id long, score long"
-    out = None
+    held = []
     for r in range(rounds):
-        some = queries.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r) if rounds > 1 else queries
-        held = some.toArrow()
-        held = sc.broadcast(matrix(held.column("id").combine_chunks(), held.column("v").combine_chunks(), scale))
-
-        def run(batches, held=held):
-            qids, q = held.value
-            best: dict[int, list] = {}
-
-            def blocks():
-                ids, rows, n = [], [], 0
-                for batch in batches:
-                    i, m = matrix(batch.column(0), batch.column(1), scale)
+        some = (queries.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r) if rounds > 1 else queries).toArrow()
+        held.append(sc.broadcast(matrix(some.column("id").combine_chunks(), some.column("v").combine_chunks(), scale)))
+
+    def run(batches):
+        def blocks():
+            ids, rows, n = [], [], 0
+            for batch in batches:
+                for a, b in cuts(batch.column(1), BLOCK_ROWS * 64):
+                    i, m = matrix(batch.column(0)[a:b], batch.column(1)[a:b], scale)
                     ids.append(i)
                     rows.append(m)
                     n += len(i)
                     if n >= BLOCK_ROWS:
                         yield joined(ids, rows)
                         ids, rows, n = [], [], 0
-                if n:
-                    yield joined(ids, rows)
-
-            for block in blocks():
-                for j, qid in enumerate(qids.tolist()):
-                    v, s = block.best(q[j], qid, k)
-                    best[qid] = sorted(best.get(qid, []) + list(zip((-s).tolist(), v.tolist(), strict=True)))[:k]
-            flat = [(qid, v, -s) for qid, found in best.items() for s, v in found]
-            if flat:
-                a, b, c = zip(*flat, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["query_id", "vec_id", "score"])
-
-        found = vectors.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
+            if n:
+                yield joined(ids, rows)
+
+        for block in blocks():
+            for one in held:
+                qids, q = one.value
+                found = [(qid, v, s) for j, qid in enumerate(qids.tolist()) for v, s in zip(*block.best(q[j], qid, k), strict=True)]
+                if found:
+                    a, b, c = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["query_id", "vec_id", "score"])
+                if rounds > 1:
+                    vars(one).pop("_value", None)  # a worker keeps one round's queries
+
+    out = vectors.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spectraloom.llm import bpe
@@ -84,3 +85,21 @@ def test_flat_files(spark, tmp_path):
     for block in (2, 4, 100):
         got = scan(read_files(spark, f"file://{tmp_path}/*.bin", block)).orderBy("doc").collect()
         assert [(r.start, r.n_tokens) for r in got] == [(0, 2), (3, 0), (4, 1), (6, 2)]
+
+
+def test_token_counts_of_odd_rows(spark):
+    """Counts are the tokenizers library's; nulls, repeated rows, clashing columns and an empty table have defined results."""
+    rows = [(1, "Some words, twice."), (1, "Some words, twice."), (2, None), (None, "x"), (3, ""), (4, "naïve café 123 " * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("stream", F.lit("clash")).withColumn("n_tokens", F.lit(-1))
+    streams = flat_streams(df, block_tokens=64)
+    got = label_documents(scan(streams), streams).collect()
+    want = [(i, len(library().encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(want, key=str)
+    empty = flat_streams(df.limit(0))
+    assert label_documents(scan(empty), empty).count() == 0
+
+
+def test_token_files_are_read_in_ranges(spark, tmp_path):
+    (tmp_path / "a b.bin").write_bytes(np.arange(5000, dtype="<u2").tobytes())
+    got = read_files(spark, f"file://{tmp_path}/*.bin", 512).orderBy("block").collect()
+    assert [len(r.data) for r in got] == [512] * 19 + [272] and b"".join(r.data for r in got) == np.arange(5000, dtype="<u2").tobytes()

@@ -60,6 +60,37 @@ def test_tree_attention(spark):
     assert all(p.text[n.loss_start : n.loss_end] in ("a", "b") for n in leaves)
 
 
+def test_long_conversations_have_few_intervals(spark):
+    """Many turns, and branches late in them: intervals merge, and everything is read back."""
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"turn {t} </s>") for t in range(20_000)]
+    rows += [(2, t, r, x) for _, t, r, x in rows[:15_000]] + [(2, 15_000, "user", "other end")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("key", F.lit("clash")).withColumn("turns", F.lit(0))
+    packs = chat.pack(df, 1 << 30, 1)
+    p, = packs.collect()
+    assert len(p.nodes) == 20_001 and max(len(n.attend) for n in p.nodes) <= 2 and sum(len(n.attend) for n in p.nodes) < 30_000
+    got = {r.conv_id: r.n_turns for r in chat.read_back(packs).collect()}
+    assert got == {1: 20_000, 2: 15_001}
+
+
+def test_tokens_of_packs(spark):
+    """Each turn's ids stand once; positions and intervals give every conversation as it is encoded alone."""
+    from spectraloom.llm.bpe import bpe, default_path
+
+    rows = [(c, t, r, f"some words {t if t < 2 else c} of turn") for c in range(5) for t, r in enumerate(("user", "assistant", "user", "assistant"))]
+    packs = chat.pack(spark.createDataFrame(rows, SCHEMA), partitions=1)
+    p, = packs.collect()
+    got, = chat.tokens(packs).collect()
+    model = bpe(default_path(), False)
+    assert len(got.nodes) == 2 + 5 * 2 and len(got.ids) == len(got.positions)
+    for leaf in p.leaves:
+        n = got.nodes[leaf.node]
+        spans = [(i.start, i.end) for i in n.attend] + [(n.start, n.end)]
+        own = [r for r in rows if r[0] == leaf.conv_id]
+        want = [i for _, _, r, x in own for i in np.frombuffer(model.encode(chat.format_turn(r, x)[0].encode()), "<u4").tolist()]
+        assert [i for a, b in spans for i in got.ids[a:b]] == want
+        assert [i for a, b in spans for i in got.positions[a:b]] == list(range(len(want)))
+
+
 def plain_terms(text):
     """Terms and their tf by their definition."""
     words = re.findall(r"[a-z\u0080-\U0010ffff]+", (text or "").lower())

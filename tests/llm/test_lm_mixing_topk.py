@@ -231,6 +231,18 @@ def test_topk_by_brute_force(spark):
     assert topk.search(df.limit(0), df).count() == 0
 
 
+def test_topk_odd_rows(spark):
+    """Queries under one id, scores beyond a long, clashing columns."""
+    rows = [(50, [0.5, 0.25]), (50, [0.25, 0.5]), (50, [None, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (100, [1e16, 0.0]), (3, [1e16, 1.0]), (4, [-1e16, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit("x"), "v": F.lit("y"), "score": F.lit(1)}).repartition(3)
+    got = collections.defaultdict(list)
+    for r in topk.search(df, df.where("vec_id % 50 = 0"), k=9).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    # the query of 50 is its least vector, (64, 128)
+    assert got[50] == [(3, topk.MOST), (100, topk.MOST), (2, 128 * 256), (1, 64 * 256), (1, 64 * 256), (4, topk.LEAST)]
+    assert got[100] == [(1, topk.MOST)] * 2 + [(3, topk.MOST)] + [(50, topk.MOST)] * 2 + [(2, 0), (4, topk.LEAST)]
+
+
 def test_possible_members_are_few():
     rng = np.random.default_rng(5)
     m = np.floor(rng.normal(size=(5000, 32)) * 50).astype(np.int64)
