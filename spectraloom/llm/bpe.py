@@ -211,7 +211,9 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text", keep:
     kept = [c for c in df.columns if c not in names and (keep is None or c in keep)]
     # long texts: once for each distinct text, in pieces
     key = F.sha2(F.col(text_col).cast("binary"), 256)
-    long_rows = df.where(is_long).withColumn("_key", key)
+    long_rows = written(df.where(is_long).withColumn("_key", key), "long")
+    if long_rows.limit(1).count() == 0:
+        return out
     texts = long_rows.select("_key", F.col(text_col).alias("_text")).dropDuplicates(["_key"])
     piece = "_key string, seq int, parts array<string>, special array<int>, open_start boolean, open_end boolean"
 

@@ -557,3 +557,15 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
     out = jaccard_components(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = f"""
+with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+  s as (select distinct rid, unnest(case when len(ws) >= {WORDS} then list_transform(range(1, len(ws) - {WORDS - 2}), lambda i: array_to_string(ws[i : i + {WORDS - 1}], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as shingle from d),
+  n as (select rid, count(*) as n from s group by rid),
+  c as (select a.rid as x, b.rid as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.rid < b.rid group by all),
+  e as (select x, y from c join n a on a.rid = x join n b on b.rid = y where 100 * c >= {PERCENT} * (a.n + b.n - c)),
+  r as (select rid, rid as other from n union select r.rid, u.y from r join (select x, y from e union all select y, x from e) u on r.other = u.x),
+  m as (select r.rid, min(d.doc_id) as component_id from r join d on d.rid = r.other group by r.rid)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, case when n.n > 0 then m.component_id else d.doc_id end as component_id from d left join n using (rid) left join m using (rid)
+"""

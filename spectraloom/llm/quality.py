@@ -102,3 +102,29 @@ def quality(df: DataFrame, text_col: str = "text", keep: list[str] | None = None
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     out = quality(C.table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", *[f.name for f in FIELDS])
+
+
+def _gram_sql(n: int) -> str:
+    """Words of p inside n-word windows found twice or more in their text."""
+    after, before = f"rows between current row and {n - 1} following", f"rows between {n - 1} preceding and current row"
+    return f"""g{n} as (select rid, i, len, case when i + {n - 1} <= words then string_agg(word, ' ') over (partition by rid order by i {after}) end as gram from p),
+  h{n} as (select *, gram is not null and count(*) over (partition by rid, gram) > 1 as twice from g{n}),
+  c{n} as (select rid, len, max(cast(twice as integer)) over (partition by rid order by i {before}) as inside from h{n}),
+  r{n} as (select rid, sum(inside) as n, sum(inside * len) as chars from c{n} group by rid)"""
+
+
+ORACLE = f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+  w as (select rid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws from d),
+  p as (select rid, len(ws) as words, unnest(ws) as word, generate_subscripts(ws, 1) as i, length(unnest(ws)) as len from w),
+  l as (select rid, line, count(*) as c, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) as chars from (select rid, unnest(string_split(t, chr(10))) as line from d) group by rid, line),
+  k as (select rid, sum(c - 1) as n, sum((c - 1) * chars) as chars from l where chars > 0 group by rid),
+  {", ".join(_gram_sql(n) for n, _ in GRAM_LIMITS)},
+  a as (select d.doc_id, len(w.ws) as n_words, coalesce((select sum(length(x)) from (select unnest(w.ws) as x)), 0) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    coalesce(k.n, 0) as n_dup_lines, coalesce(r5.n, 0) as n_repeat_words, coalesce(k.chars, 0) as dup_chars, {", ".join(f"coalesce(r{n}.chars, 0) as chars_{n}" for n, _ in GRAM_LIMITS)}
+    from d join w using (rid) left join k using (rid) {" ".join(f"left join r{n} using (rid)" for n, _ in GRAM_LIMITS)}),
+  b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > 20 * n_words as base_failed, dup_chars / cast(greatest(word_chars, 1) as double) as dup_line_share, {", ".join(f"chars_{n} / cast(greatest(word_chars, 1) as double) as repeat_share_{n}" for n, _ in GRAM_LIMITS)} from a)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+  not base_failed and dup_line_share <= {LINE_LIMIT!r}e0 and n_symbols <= {SYMBOL_LIMIT!r}e0 * n_words and {" and ".join(f"repeat_share_{n} <= {m!r}e0" for n, m in GRAM_LIMITS)} as kept, dup_line_share, {", ".join(f"repeat_share_{n}" for n, _ in GRAM_LIMITS)}
+from b
+"""

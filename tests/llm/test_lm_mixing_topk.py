@@ -179,6 +179,26 @@ def test_mix(spark, docs):
     assert mixing.mix(df.limit(0))[0].count() == 0
 
 
+def test_taken_by_brute_force(spark, docs):
+    """taken is what the drawn blocks hold of each row; the rows of a source fill its blocks without gap or overlap."""
+    df = docs.select("doc_id", "text", "source")
+    rows, slots, pieces = mixing.mix(df)
+    rows, times = rows.collect(), collections.Counter((r.sid, r.block) for r in slots.select("sid", "block").collect())
+    held, taken = collections.defaultdict(list), collections.Counter()
+    for p in pieces.collect():
+        taken[p.sid, p.off] += p.words * times[p.sid, p.block]
+        held[p.sid].append((p.off, p.block, p.words))
+    assert max(times.values()) <= mixing.CAP
+    for r in rows:
+        assert r.taken == (taken[r.sid, r.off] if r.size else 0) and r.taken <= mixing.CAP * r.size
+    for sid in held:
+        own = sorted((r.off, r.size) for r in rows if r.sid == sid and r.size)
+        assert [o for o, _ in own] == np.concatenate([[0], np.cumsum([n for _, n in own])])[:-1].tolist()
+        assert sum(w for _, _, w in held[sid]) == sum(n for _, n in own)
+    size = {(r.doc_id, r.size) for r in rows}
+    assert size == {(r.doc_id, len(tokens(r.text)) - 1) for r in df.collect()}
+
+
 def test_slots_are_not_broadcast(spark, docs):
     """Only the table of sources, which is checked by count, may be sent to all tasks."""
     rows, _, _ = mixing.mix(docs)

@@ -41,6 +41,17 @@ def test_quality(texts, docs):
     assert quality.quality(df.limit(0)).count() == 0
 
 
+def test_quality_of_long_and_repeated_rows(spark):
+    long = " ".join(f"w{i % 70_000}" for i in range(150_000))
+    rows = [(1, long), (1, long), (2, "a b c d e " * 40_000), (None, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_words": F.lit("clash"), "off": F.lit(1)})
+    got = quality.quality(df).collect()
+    assert [r.n_words for r in got if r.doc_id == 1] == [150_000] * 2 and {r.off for r in got} == {1}
+    by = {r.doc_id: r for r in got}
+    assert by[2].n_repeat_words == 200_000 and not by[2].kept and by[None].base_failed
+    assert by[1].n_repeat_words == brute(long)[4]
+
+
 def parse(text, ref):
     i = n = 0
     while i < len(text):
