@@ -88,18 +88,27 @@ def options_of(a: argparse.Namespace, num_mods: int) -> SearchOptions:
 
 
 def main(args: list[str] | None = None) -> None:
+    """One command; the tables that it needed on the way go."""
+    from .session import session
+    from .shared import remove_tables
+
+    spark = session()
+    try:
+        run(spark, parser().parse_args(args))
+    finally:
+        remove_tables(spark)
+
+
+def run(spark, a: argparse.Namespace) -> None:
     from .operators import intensity
     from .operators.model import instrument_family, select_model, selection_key, starter_model
     from .operators.store import Store, load_model, manifest
     from .plans import search as S
     from .plans import training
-    from .session import session
     from .shared import written
     from .sources import read_fasta, read_linked, read_spectra, spectrum_format
     from .sources.mzml import detect
 
-    a = parser().parse_args(args)
-    spark = session()
     if a.command == "train-intensity":
         intensity.write_model(intensity.merged(intensity.read_partial(spark, *a.input)), a.output)
         return

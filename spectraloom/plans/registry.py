@@ -155,7 +155,7 @@ _ISO = repr(chem.ISOTOPE)
 
 
 @query(f"""with c as (select p_partkey as cand, cast(p_retailprice as double) + 18.0105646942 as m from part),
-  s as (select s_suppkey as spec, s_acctbal as m from supplier where s_acctbal > 100),
+  s as (select s_suppkey as spec, s_acctbal / 10 + 1000 as m from supplier),
   j as (select spec, cand, iso, c.m - (s.m - iso * {_ISO}) as err, s.m - iso * {_ISO} as obs from s join c on abs(c.m - s.m) < 4 cross join (select unnest([-1, 0, 1, 2]) as iso)),
   k as (select spec, cand, iso, err / obs * 1e6 as ppm from j where abs(err) <= 0.5),
   r as (select *, row_number() over (partition by spec, cand order by abs(ppm), iso) as n from k)
@@ -163,7 +163,7 @@ _ISO = repr(chem.ISOTOPE)
 def isotope_min_error(spark, sf_dir):
     c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand_idx"), (F.col("p_retailprice") + 18.0105646942).alias("neutral_mass"))
     c = c.withColumn("nominal_residue_mass", chem.nominal(F.col("neutral_mass") - chem.H2O))
-    s = table(spark, sf_dir, "supplier").where("s_acctbal > 100").select(F.col("s_suppkey").alias("spectrum_idx"), (F.col("s_acctbal") + chem.PROTON).alias("precursor_mz"), F.lit(1).alias("precursor_charge"), F.array(F.lit(0)).alias("peaks"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("spectrum_idx"), (F.col("s_acctbal") / 10 + 1000 + chem.PROTON).alias("precursor_mz"), F.lit(1).alias("precursor_charge"), F.array(F.lit(0)).alias("peaks"))
     tol = PrecursorTolerance(Tolerance(0.5, "Da"), Tolerance(0.5, "Da"))
     out = match.precursor_matches(s, c, MatchOptions(tolerance=tol, min_peaks=1))
     return out.select(F.col("spectrum_idx").alias("spec"), F.col("cand_idx").alias("cand"), F.col("isotope_offset").alias("iso"), F.round("mass_error_ppm", 4).alias("ppm"))
