@@ -320,17 +320,17 @@ def _least(table: DataFrame, dtype: str, column: str, most: int) -> int:
     return least
 
 
-def _meeting(table: DataFrame, columns: list[tuple[str, str]], least: int) -> list[np.ndarray]:
-    """The blobs of columns (name, dtype) where the last of them is `least` or more."""
+def _meeting(table: DataFrame, columns: list[tuple[str, str]], by: str, least: int) -> list[np.ndarray]:
+    """The numbers of columns (name, dtype) where that of `by`, which need not be one of them, is `least` or more."""
 
     def run(batches):
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *row, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held = [np.frombuffer(b, t) for b, (_, t) in zip(row, columns, strict=True)]
-                ok = held[-1] >= least
+                ok = np.frombuffer(n, "<i8") >= least
                 yield pa.RecordBatch.from_arrays([pa.array([h[ok].tobytes()], pa.binary()) for h in held], names=[c for c, _ in columns])
 
-    got = table.select(*[c for c, _ in columns]).mapInArrow(run, ", ".join(f"{c} binary" for c, _ in columns)).toArrow()
+    got = table.select(*[c for c, _ in columns], F.col(by).alias("_by")).mapInArrow(run, ", ".join(f"{c} binary" for c, _ in columns)).toArrow()
     return [C.gathered(got.column(i), t) for i, (_, t) in enumerate(columns)]
 
 
@@ -371,11 +371,11 @@ def score(df: DataFrame, train: DataFrame, text_col: str = "text", id_col: str =
     whole = float(tokens + distinct + 1)
 
     words = counts.where("kind = 'w'")
-    word_keys, word_counts = _meeting(words, [("keys", "<u8"), ("counts", "<i8")], _least(words, "<i8", "counts", head))
+    word_keys, word_counts = _meeting(words, [("keys", "<u8"), ("counts", "<i8")], "counts", _least(words, "<i8", "counts", head))
     root, (near_keys, near_logs, _), near = grown(near_levels(counts), symbols, depth)
     contexts_ = model(counts, near, symbols, depth)
     least = _least(contexts_, "<i8", "n", most)
-    deep_keys, deep_logs, _ = _meeting(contexts_, [("keys", "<u8"), ("logs", "<f4"), ("n", "<i8")], least)
+    deep_keys, deep_logs = _meeting(contexts_, [("keys", "<u8"), ("logs", "<f4")], "n", least)
     tree = Tree(root, np.concatenate([near_keys, deep_keys]), np.concatenate([near_logs, deep_logs]), depth)
     known = C.Table(word_keys, np.log10((word_counts + 1) / whole))
     held = spark.sparkContext.broadcast((tree, known, Filter(_beyond(contexts_, least, filter_bytes), depth)))
