@@ -76,6 +76,34 @@ def test_precursor_join(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("left, right", [(Tolerance(1.2, "Da"), Tolerance(0.7, "Da")), (Tolerance(300.0), Tolerance(0.0)), (Tolerance(30.0), Tolerance(0.2, "Da")), (Tolerance(900.0), Tolerance(900.0))])
+def test_precursor_join_of_wide_and_uneven_tolerances(spark, left, right):
+    """Isotopes overlap, sides differ; columns of candidates go along."""
+    rng = random.Random(2)
+    cands = [(i, rng.uniform(500, 2500)) for i in range(400)]
+    c = spark.createDataFrame([(i, m, f"p{i}") for i, m in cands], "cand_idx long, neutral_mass double, sequence string")
+    specs = [(i, rng.uniform(250, 1250)) for i in range(80)] + [(80, cands[0][1] / 2 + PROTON)]
+    s = spark.createDataFrame(specs, "spectrum_idx long, precursor_mz double").select("*", F.lit(2).alias("precursor_charge"), F.array(F.lit(0)).alias("peaks"))
+    got = precursor_matches(s, c, MatchOptions(tolerance=PrecursorTolerance(left, right), min_peaks=1), keep=("sequence",)).collect()
+    want = {}
+    for i, mz in specs:
+        for k, m in cands:
+            obs = {iso: mz * 2 - 2 * PROTON - iso * (13.00335483 - 12) for iso in range(-1, 3)}
+            hits = [(abs((m - o) / o * 1e6), iso) for iso, o in obs.items() if abs(m - o) <= (left if m < o else right).as_da(o)]
+            if hits:
+                want[i, k] = (min(hits)[1], f"p{k}")
+    assert len(want) > 10 and len(got) == len(want)
+    assert {(r.spectrum_idx, r.cand_idx): (r.isotope_offset, r.sequence) for r in got} == want
+
+
+def test_precursor_join_broadcasts_nothing(spark):
+    """Neither exploded precursors nor candidates: small files may hold many of them."""
+    from spectraloom.plans.registry import flagship
+
+    out = flagship(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tiny_model_scores():
     m = model.tiny_model(ions=True)
     part = (2, 0, 1000.0)
