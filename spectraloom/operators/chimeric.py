@@ -27,6 +27,11 @@ def _strongest(mz: np.ndarray, intensity: np.ndarray, at: float, tol: float) ->
     return float(intensity[a:b].max(initial=0.0))
 
 
+def _strongest_at(mz: np.ndarray, intensity: np.ndarray, at: float, tol: float) -> float | None:
+    a, b = np.searchsorted(mz, at - tol, "left"), np.searchsorted(mz, at + tol, "right")
+    return float(mz[a + int(np.argmax(intensity[a:b]))]) if b > a else None
+
+
 def isotope_match(mz: np.ndarray, intensity: np.ndarray, mono: float, charge: int, mass: float, tol: float, n: int = ENVELOPE) -> tuple[float, float]:
     """(divergence of the observed envelope from the average one, mono peak over the median of nonzero peaks)."""
     if not len(mz) or n == 0 or charge == 0:
@@ -48,14 +53,24 @@ def detect(mz: np.ndarray, intensity: np.ndarray, low: float, high: float, selec
     zs = [z for z in range(charges[0], charges[1] + 1) if z]
     on_ladder = lambda d, z, first: any(abs(d - k * ISOTOPE / z) <= tol for k in range(first, 6))
     out: list[tuple[float, int, float]] = []
-    for m in mz[at].tolist():
+
+    def known(m: float) -> bool:
         d = abs(m - selected)
-        if d <= tol or any(on_ladder(d, z, 1) for z in zs) or any(on_ladder(abs(m - o), z, 0) for o, z, _ in out):
+        return d <= tol or any(on_ladder(d, z, 1) for z in zs) or any(on_ladder(abs(m - o), z, 0) for o, z, _ in out)
+
+    for m in mz[at].tolist():
+        if known(m):
             continue
         fits = [(isotope_match(mz, intensity, m, z, (m - PROTON) * z, tol)[0], z) for z in zs]
         fits = [f for f in fits if f[0] <= max_kl]
         if fits:
-            _, z = min(fits, key=lambda f: f[0])
+            kl, z = min(fits, key=lambda f: f[0])
+            # the second peak of a heavy peptide is stronger than its first and may fit too: down while a peak before fits better
+            while (before := _strongest_at(mz, intensity, m - ISOTOPE / z, tol)) is not None and before >= low and not known(before):
+                less = isotope_match(mz, intensity, before, z, (before - PROTON) * z, tol)[0]
+                if less >= kl:
+                    break
+                m, kl = before, less
             out.append((m, z, (m - PROTON) * z))
             if len(out) >= most:
                 break

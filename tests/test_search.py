@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectraloom.functions.chem import ENZYMES, H2O, PROTON, PrecursorTolerance, Tolerance
+from spectraloom.functions.chem import ENZYMES, H2O, PROTON, PrecursorTolerance, Tolerance, averagine_of
 from spectraloom.functions.mods import VariantTable
 from spectraloom.operators import chimeric, digest, fdr, intensity, model, store, topn, train
 from spectraloom.operators.digest import DigestOptions
@@ -278,6 +278,31 @@ def test_chimeric():
     assert chimeric.isotope_match(np.empty(0), np.empty(0), 500.0, 2, 998.0, 0.01) == (10.0, 0.0)
 
 
+def test_first_peak_of_heavy_coisolated():
+    """The second peak of an envelope of 3 to 5 kDa is its strongest, fits within the limit and is not taken for the first."""
+    for first in (702.21, 1000.21, 1290.21):
+        share = averagine_of((first - PROTON) * 3, 4)
+        mz = np.array([first - 0.21 + k * 1.00335483 / 2 for k in range(4)] + [first + k * 1.00335483 / 3 for k in range(4)])
+        inten = np.concatenate([averagine_of((first - 0.21 - PROTON) * 2, 4) * 1000, share * 500]).astype(np.float32)
+        order = np.argsort(mz)
+        assert share[1] > share[0]
+        (got, z, mass), *_ = chimeric.detect(mz[order], inten[order], first - 1.21, first + 0.79, first - 0.21, (2, 3), 0.013)
+        assert (round(got, 4), z) == (first, 3) and mass == pytest.approx((first - PROTON) * 3)
+
+
+def test_coisolated_envelopes_of_large_keys(spark, tmp_path):
+    """Keys of heavy envelopes, and those whose m/z no instrument has."""
+    import duckdb
+
+    from spectraloom.plans.registry import ORACLE_SQL, QUERIES
+
+    spark.sql("select explode(array(0, 101, 102, 600, 683, 5000, 9999, 10000, 10102, 12345, 59999, 7000000))").selectExpr("cast(col as bigint) as s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    got = QUERIES["coisolated_envelopes"](spark, str(tmp_path)).select("spectrum_idx", "co_mz", "co_charge", "co_mass").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE_SQL["coisolated_envelopes"]).fetchall())
+
+
 def test_second_pass(spark):
     _, cands = S.build_candidates(proteins(spark, BSA))
     a, b = cands.where("not is_decoy and sequence in ('LVNELTEFAK', 'SLHTLFGDELCK')").orderBy("sequence").collect()[:1][0], cands.where("not is_decoy and sequence = 'SLHTLFGDELCK'").first()
