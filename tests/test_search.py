@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraloom.functions.chem import ENZYMES, H2O, PROTON, PrecursorTolerance, Tolerance, averagine_of
-from spectraloom.functions.mods import VariantTable
+from spectraloom.functions.mods import Modification, VariantTable
 from spectraloom.operators import chimeric, digest, fdr, intensity, model, store, topn, train
 from spectraloom.operators.digest import DigestOptions
-from spectraloom.operators.match import MatchOptions, precursor_matches
+from spectraloom.operators.match import MatchOptions, digested_matches, precursor_matches
 from spectraloom.operators.spectrum import ScoredSpectrum, by_ions, deconvolute, features
 from spectraloom.plans import search as S
 from spectraloom.plans import training
@@ -104,6 +104,38 @@ def test_precursor_join_broadcasts_nothing(spark):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+MODS = [Modification("C", 57.02146, "C", "any", True), Modification("O", 15.99491, "M", "any", False), Modification("P", 79.96633, "S", "any", False), Modification("A", 42.01057, "*", "prot-n-term", False), Modification("T", 100.0, "K", "c-term", True), Modification("E", -17.5, "E", "n-term", False)]
+
+
+@pytest.mark.parametrize("mods, how, tol, size", [(None, DigestOptions(), Tolerance(20.0), 1 << 20), (MODS, DigestOptions(missed=2, min_length=1), Tolerance(900.0), 100), (MODS, DigestOptions(enzyme=ENZYMES["AspN"], max_mods=1), Tolerance(1.4, "Da"), 1 << 20), ([], DigestOptions(specificity=1, max_length=9), Tolerance(20.0), 1 << 20)])
+def test_matches_where_candidates_are_digested(spark, monkeypatch, mods, how, tol, size):
+    """The same rows as of the join of tables, in groups of precursors too and for indices that are missing or repeated."""
+    monkeypatch.setattr("spectraloom.operators.match.KEYS", size)
+    rng = random.Random(3)
+    seqs = [BSA, "MMAMMSMKMMMMR" + BSA[:50], "PEPTXDEKPEPé" + BSA[50:90], "K", "", "M", None, "M" * 14 + "SEMCK" * 9, "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=3000))]
+    rows = [(i, i % 2 == 0, s) for i, s in enumerate(seqs)] + [(None, False, BSA[100:200]), (50, False, "MAMSK" * 5), (50, False, "MAMSK" * 5)]
+    p = spark.createDataFrame(rows, "protein_index long, is_decoy boolean, sequence string")
+    t = VariantTable() if mods is None else VariantTable(mods)
+    cands = digest.candidates(p, t, how)
+    masses = sorted(r.neutral_mass for r in cands.select("neutral_mass").distinct().collect())
+    specs = [(i, (m + PROTON * 2 + rng.choice([-1, 0, 1, 2]) * 1.00335483) / 2 * (1 + rng.uniform(-3e-5, 3e-5)), rng.choice([None, 2])) for i, m in enumerate(masses[:: len(masses) // 150])]
+    specs += [(900, None, 2), (901, float("nan"), 2), (902, float("inf"), 2), (903, 0.1, 2), (None, masses[3] + PROTON, 1)]
+    s = spark.createDataFrame(specs, "spectrum_idx long, precursor_mz double, precursor_charge int").withColumn("peaks", F.array(F.lit(0)))
+    o, keep = MatchOptions(tolerance=PrecursorTolerance(tol, tol), min_peaks=1), ("sequence", "is_decoy")
+    got, want = digested_matches(s, p, o, t, how, keep), precursor_matches(s, cands.select("cand_idx", "neutral_mass", *keep), o, keep)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    got, want = (sorted(map(repr, df.collect())) for df in (got, want))
+    assert len(want) > 100 and got == want
+
+
+def test_search_candidates_shuffle_nothing(spark):
+    """Candidates are many times the documents: no disk holds them between the steps."""
+    from spectraloom.plans.registry import flagship
+
+    out = flagship(spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tiny_model_scores():
     m = model.tiny_model(ions=True)
     part = (2, 0, 1000.0)
