@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions.chem import ENZYMES, H2O, PROTON, PrecursorTolerance, Tolerance, averagine_of
 from spectraloom.functions.mods import Modification, VariantTable
-from spectraloom.operators import chimeric, digest, fdr, intensity, model, store, topn, train
+from spectraloom.operators import chimeric, digest, fdr, intensity, match, model, store, topn, train
 from spectraloom.operators.digest import DigestOptions
 from spectraloom.operators.match import MatchOptions, digested_matches, precursor_matches
 from spectraloom.operators.spectrum import ScoredSpectrum, by_ions, deconvolute, features
@@ -128,6 +128,15 @@ def test_matches_where_candidates_are_digested(spark, monkeypatch, mods, how, to
     assert len(want) > 100 and got == want
 
 
+def test_long_ranges_are_cut():
+    """All pairs once, in rows and batches of bounded size."""
+    low, high = np.array([5, 0, 3, 7, 0]), np.array([5, 10_000, 4, 6, 300_000])
+    found = list(match._cut(low, high))
+    got = [(a, k) for at, begin, size in found for a, b, n in zip(at, begin, size, strict=True) for k in range(b, b + n)]
+    assert got == [(a, k) for a in range(5) for k in range(low[a], high[a])]
+    assert all(size.max() <= match.ROW and size.sum() <= match.PAIRS for _, _, size in found)
+
+
 def test_search_candidates_shuffle_nothing(spark):
     """Candidates are many times the documents: no disk holds them between the steps."""
     from spectraloom.plans.registry import flagship
